@@ -24,9 +24,10 @@ def query(name: str, sql: str | None = None):
 
 
 def using(*parts: str) -> str:
-    """``WITH`` the given table texts, then the last part."""
-    *tables, body = parts
-    return "WITH " + ",\n".join(t.strip() for t in tables) + "\n" + body
+    """``WITH`` the given table texts, then the last part, which may begin with tables too."""
+    texts = [t.strip() for t in parts]
+    joint = "\n" if texts[-1].upper().startswith("SELECT") else ",\n"
+    return "WITH " + ",\n".join(texts[:-1]) + joint + texts[-1]
 
 
 def r6(col: Column | str) -> Column:

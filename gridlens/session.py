@@ -35,6 +35,7 @@ def build_session(app: str, cores: str = "8", memory: str = "8g") -> SparkSessio
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
