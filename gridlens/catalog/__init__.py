@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from gridlens.catalog import basics, series  # noqa: F401
+from gridlens.catalog import basics, models, series  # noqa: F401
 from gridlens.catalog.registry import ORACLES, QUERIES
 
 
