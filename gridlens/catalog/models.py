@@ -153,8 +153,9 @@ def inverse_scale(spark, d):
 
 
 def scored_by(spark, d, model, mode):
+    table = cut_lineage(fx.hourly_features(spark, d))
     out = study.fit_and_score(
-        fx.hourly_features(spark, d), model, mode, fx.stamp(fx.HOURLY_CUT), fx.HOURLY, fx.HOUR)
+        table, model, mode, fx.stamp(fx.HOURLY_CUT), fx.HOURLY, fx.HOUR)
     return out.scored.select(
         "ClientID", "Cluster", "Date", "Actual_kW", F.round("Predicted_kW", 3).alias("Predicted_kW"))
 
@@ -197,8 +198,9 @@ def tail_validation(spark, d):
 
 @query("fit_and_score")
 def fit_and_score(spark, d):
+    table = cut_lineage(fx.hourly_features(spark, d))
     return study.fit_and_score(
-        fx.hourly_features(spark, d), "lr", "day_ahead", fx.stamp(fx.HOURLY_CUT), fx.HOURLY, fx.HOUR).summary
+        table, "lr", "day_ahead", fx.stamp(fx.HOURLY_CUT), fx.HOURLY, fx.HOUR).summary
 
 
 @query("process_data")

@@ -122,4 +122,6 @@ def forecast(coefs: DataFrame, state: DataFrame, future: DataFrame, s: Series,
         return table
 
     known = state.join(coefs, keys)
+    # Fresh column identities: both sides may come from the same request table.
+    future = future.select(*[F.col(c).alias(c) for c in future.columns])
     return known.groupBy(*keys).cogroup(future.groupBy(*keys)).applyInPandas(recursion, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from gridlens.operators.joins import attach
 from gridlens.operators.ranks import exact_quantiles
 
 THRESHOLD = 0.1
+EPOCH = datetime(1970, 1, 1)
 
 
 def abs_error(actual: str = "Actual_kW", predicted: str = "Predicted_kW") -> Column:
@@ -56,24 +57,26 @@ def cluster_metrics(df: DataFrame, cluster: str = "Cluster") -> DataFrame:
 
 
 def with_period(df: DataFrame, n: int = 4, time: str = "Date") -> DataFrame:
-    """Add ``period`` 1…n: equal spans of time, closed on the right, and its label."""
+    """Add ``period`` 1…n: equal spans of time, closed on the right, and its label.
+
+    The first and last stamp are read first, so that the edges are plain numbers in the plan.
+    """
     t = F.unix_micros(F.col(time).cast("timestamp"))
-    row = df.agg(F.struct(F.min(t).alias("lo"), F.max(t).alias("hi"))).scalar()
-    lo, hi = row.getField("lo"), row.getField("hi")
-    width = (hi - lo) / F.lit(float(n))
-    number = F.when(hi == lo, F.lit(1)).otherwise(
-        F.least(F.greatest(F.ceil((t - lo) / width), F.lit(1)), F.lit(n))
-    ).cast("int")
-
-    def edge(k: Column) -> Column:
-        # The first edge lies 0.1 % of the whole span before the first stamp.
-        shift = F.when(k == 0, (hi - lo) * 0.001).otherwise(F.lit(0.0))
-        stamp = F.timestamp_micros((lo + width * k - shift).cast("long"))
-        return F.date_format(stamp, "MMM dd")
-
-    p = F.col("period")
-    return df.withColumn("period", number).withColumn(
-        "Time_Period", F.concat(edge(p - 1), F.lit(" to "), edge(p))
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    if lo is None:
+        return df.withColumns(
+            {"period": F.lit(None).cast("int"), "Time_Period": F.lit(None).cast("string")}
+        )
+    width = (hi - lo) / n
+    # The first edge lies 0.1 % of the whole span before the first stamp.
+    edges = [lo - (hi - lo) * 0.001, *[lo + width * k for k in range(1, n + 1)]]
+    days = [(EPOCH + timedelta(microseconds=int(e // 1))).strftime("%b %d") for e in edges]
+    number = F.lit(1) if hi == lo else F.least(
+        F.greatest(F.ceil((t - lo) / F.lit(width)), F.lit(1)), F.lit(n)
+    )
+    names = F.array(*[F.lit(f"{a} to {b}") for a, b in zip(days, days[1:])])
+    return df.withColumn("period", number.cast("int")).withColumn(
+        "Time_Period", F.element_at(names, F.col("period"))
     )
 
 

@@ -37,10 +37,14 @@ def fit_global_scaler(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def apply_global_scaler(df: DataFrame, scaler: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Scale in place; the single row of statistics is a scalar subquery, not a join."""
-    row = scaler.select(F.struct(*scaler.columns)).scalar()
+    """Scale in place. The one row of statistics is read once and becomes plain numbers."""
+    row = scaler.first().asDict()
     return df.withColumns(
-        {c: (F.col(c) - row.getField(f"mean_{c}")) / row.getField(f"std_{c}") for c in cols}
+        {
+            c: (F.col(c) - F.lit(row[f"mean_{c}"]).cast("double"))
+            / F.lit(row[f"std_{c}"]).cast("double")
+            for c in cols
+        }
     )
 
 

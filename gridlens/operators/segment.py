@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from multiprocessing.pool import ThreadPool
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from gridlens.operators.ranks import running_totals
 from gridlens.session import cut_lineage
 
+PARALLEL_FITS = 5
 HOURS = [f"h{h}" for h in range(1, 25)]
 
 # Names of the five day shapes; a lookup the caller may replace.
@@ -25,11 +28,12 @@ CLUSTER_NAMES = {
 
 def row_minmax(profiles: DataFrame, cols: list[str] = HOURS) -> DataFrame:
     """Each client's values on a 0–1 scale of its own; a flat client becomes all 0."""
-    low = F.least(*cols)
-    span = F.greatest(*cols) - low
-    return profiles.withColumns(
-        {c: F.when(span > 0, (F.col(c) - low) / span).otherwise(F.lit(0.0)) for c in cols}
-    )
+    # Own columns for range and minimum: written inline they would be repeated per hour.
+    ranged = profiles.withColumn("_low", F.least(*cols)).withColumn("_high", F.greatest(*cols))
+    span = F.col("_high") - F.col("_low")
+    return ranged.withColumns(
+        {c: F.when(span > 0, (F.col(c) - F.col("_low")) / span).otherwise(F.lit(0.0)) for c in cols}
+    ).drop("_low", "_high")
 
 
 def _vectors(scaled: DataFrame, client: str) -> DataFrame:
@@ -37,14 +41,16 @@ def _vectors(scaled: DataFrame, client: str) -> DataFrame:
     return scaled.select(client, array_to_vector(values).alias("features"))
 
 
-def _best_fit(vectors: DataFrame, k: int, seed: int, starts: int):
-    best = None
-    for i in range(starts):
-        model = KMeans(k=k, seed=seed + i, initMode="k-means||").fit(vectors)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best
+def _fits(vectors: DataFrame, tasks: list[tuple[int, int]]) -> list[tuple]:
+    """Fit each (k, seed); a few at a time, since one fit is a row of short jobs."""
+    def fit(task):
+        k, seed = task
+        model = KMeans(k=k, seed=seed, initMode="k-means||").fit(vectors)
+        return model, float(model.summary.trainingCost)
+
+    spark = vectors.sparkSession
+    with ThreadPool(min(len(tasks), PARALLEL_FITS)) as pool:
+        return pool.map(inheritable_thread_target(spark)(fit), tasks)
 
 
 def stable_order(centers: list[list[float]]) -> list[int]:
@@ -67,7 +73,8 @@ def profile_clusters(scaled: DataFrame, k: int = 5, seed: int = 42, starts: int
     Labels follow the centres' shape, so they do not hang on the order of rows or starts.
     """
     vectors = _vectors(scaled, client).persist(StorageLevel.MEMORY_AND_DISK)
-    model, _ = _best_fit(vectors, k, seed, starts)
+    fits = _fits(vectors, [(k, seed + i) for i in range(starts)])
+    model, _ = min(fits, key=lambda f: f[1])
     label = stable_order([[float(x) for x in c] for c in model.clusterCenters()])
     new = F.element_at(F.array(*[F.lit(x) for x in label]), F.col("prediction") + 1)
     return model.transform(vectors).select(client, new.cast("int").alias("Cluster"))
@@ -78,7 +85,11 @@ def elbow_curve(scaled: DataFrame, k_max: int = 10, seed: int = 42, starts: int
     """Cost of the best fit for each k. One cluster needs no fit: it is the total spread."""
     spark = scaled.sparkSession
     vectors = _vectors(scaled, client).persist(StorageLevel.MEMORY_AND_DISK)
-    costs = [(k, float(_best_fit(vectors, k, seed, starts)[1])) for k in range(2, k_max + 1)]
+    tasks = [(k, seed + i) for k in range(2, k_max + 1) for i in range(starts)]
+    best: dict[int, float] = {}
+    for (k, _), (_, cost) in zip(tasks, _fits(vectors, tasks)):
+        best[k] = min(cost, best.get(k, cost))
+    costs = sorted(best.items())
     vectors.unpersist()
     one = scaled.agg(
         sum((F.var_pop(c) * F.count(c) for c in HOURS), F.lit(0.0)).alias("inertia")

@@ -15,6 +15,7 @@ from gridlens.operators.joins import attach
 from gridlens.operators.segment import CLUSTER_NAMES
 from gridlens.operators.series import Series
 from gridlens.plans.study import MODELS
+from gridlens.session import cut_lineage
 
 SCALED = "Predicted_Consumption_Scaled"
 
@@ -183,13 +184,15 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
     checked = checked.withColumn(
         "error", F.coalesce("error", F.when(~pairs, F.lit("No model saved for this mode.")))
     )
+    # Written once: every model reads the checked requests and their future rows.
+    checked = cut_lineage(checked)
     good = checked.filter(F.col("error").isNull())
     history = features.drop("Cluster")
     mirrored = resample.mirror_future(
         history, good.select("request_id", "ClientID", "horizon_steps"), origin, s
     )
-    future_all = mirrored.join(
-        good.select("request_id", "Cluster", "model", "mode"), "request_id"
+    future_all = cut_lineage(
+        mirrored.join(good.select("request_id", "Cluster", "model", "mode"), "request_id")
     )
     for (model, mode), tables in loaded.items():
         mine = (F.col("model") == model) & (F.col("mode") == mode)
@@ -206,7 +209,7 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
             else:
                 part = _autoregressive(ready, tables, s, hour, inputs)
         parts.append(part.select("request_id", "step", SCALED))
-    scaled = reshape.union_splits(*parts)
+    scaled = cut_lineage(reshape.union_splits(*parts))
     who = good.select("request_id", "ClientID", "model", "mode")
     rows = attach(scaled.join(who, "request_id"), common["scalers"], ["ClientID"], "left")
     kw = F.round(clamp_nonneg(F.col(SCALED) * F.col("std") + F.col("mean")), 3)

@@ -119,7 +119,7 @@ def _cluster_level(p: Prepared, features: DataFrame, model: str, mode: str,
     tables = _shared_tables(p, features)
 
     if model == "prophet":
-        series = merge.cluster_series(train, [ols.TARGET, *lags], firsts, flags)
+        series = cut_lineage(merge.cluster_series(train, [ols.TARGET, *lags], firsts, flags))
         future = merge.cluster_series(p.test, lags, firsts, flags)
         design = additive.design_for(series, inputs, s.time)
         coefs = cut_lineage(additive.fit(series, design))
@@ -132,8 +132,9 @@ def _cluster_level(p: Prepared, features: DataFrame, model: str, mode: str,
         )
         return _score(p, merge.safe_merge(p.test, forecast), tables)
 
-    past = hourly_clusters(train, inputs, s, hour)
-    ahead = hourly_clusters(p.test, inputs, s, hour)
+    # One row per cluster and hour, read several times below: written once.
+    past = cut_lineage(hourly_clusters(train, inputs, s, hour))
+    ahead = cut_lineage(hourly_clusters(p.test, inputs, s, hour))
     if model == "sarimax":
         coefs, state = seasonal_arx.fit(past, coarse, ols.TARGET, inputs)
         coefs, state = cut_lineage(coefs), cut_lineage(state)
