@@ -9,7 +9,7 @@ from gridlens.catalog.registry import q6, query, r6, using
 from gridlens.functions import dates, values
 from gridlens.models import ols, store
 from gridlens.operators import clean, features, reshape, scale
-from gridlens.session import shared_dir
+from gridlens.session import cut_lineage, shared_dir
 from gridlens.sources import meters
 
 # ---- sources and sinks ------------------------------------------------------------------
@@ -85,7 +85,7 @@ WHERE p IS NOT NULL AND Date < TIMESTAMP '{fx.DAILY_CUT}' GROUP BY Cluster""")
 
 
 def lag7_fit(spark, d):
-    lagged = features.add_lags(fx.daily_meter(spark, d), fx.DAILY, {7: "lag7"})
+    lagged = features.add_lags(fx.daily_meter(spark, d), fx.DAILY, {7: "lag7"}, regular=True)
     train, _ = clean.split_by_date(lagged, fx.stamp(fx.DAILY_CUT))
     return ols.fit(train, ["lag7"], target="Consumption")
 
@@ -131,7 +131,7 @@ def split_by_date(spark, d):
 SELECT * FROM (SELECT ClientID, Date, lag(Consumption, 28) OVER (PARTITION BY ClientID ORDER BY Date)
 AS lag28 FROM daily) WHERE lag28 IS NOT NULL"""))
 def drop_incomplete(spark, d):
-    lagged = features.add_lags(fx.daily_meter(spark, d), fx.DAILY, {28: "lag28"})
+    lagged = features.add_lags(fx.daily_meter(spark, d), fx.DAILY, {28: "lag28"}, regular=True)
     return clean.drop_incomplete(lagged, ["lag28"]).select("ClientID", "Date", "lag28")
 
 
@@ -154,7 +154,7 @@ def downcast(spark, d):
 
 @query("regressors")
 def regressors(spark, d):
-    table = fx.hourly_features(spark, d)
+    table = cut_lineage(fx.hourly_features(spark, d))
     names = ols.regressors("day_ahead", table.columns)
     p = scale.apply_scaler_join(table, scale.fit_client_scaler(table), ["Lag_24h", "Lag_1week"])
     stats = p.agg(*[F.avg(F.col(n).cast("double")).alias(n) for n in names])
@@ -328,7 +328,7 @@ FROM (SELECT *, lag(Consumption, 7) OVER (PARTITION BY ClientID ORDER BY Date) A
       FROM daily)"""))
 def align_features(spark, d):
     meter = fx.daily_meter(spark, d)
-    rows = features.add_lags(dates.calendar_features(meter), fx.DAILY, {7: "Lag_1week"})
+    rows = features.add_lags(dates.calendar_features(meter), fx.DAILY, {7: "Lag_1week"}, regular=True)
     ready = scale.apply_scaler_join(rows, scale.fit_client_scaler(meter), [], keep_stats=True)
     out = reshape.align_features(ready, EXPECTED, ["ClientID", "Date"])
     return out.withColumn("Lag_1week_Scaled", r6("Lag_1week_Scaled"))

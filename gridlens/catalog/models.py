@@ -129,7 +129,7 @@ predicted AS (SELECT ClientID, Cluster, Date, Consumption, mean, std, greatest(b
 
 
 def lag7_predicted(spark, d):
-    lagged = features.add_lags(fx.daily_meter(spark, d), fx.DAILY, {7: "Lag_1week"})
+    lagged = features.add_lags(fx.daily_meter(spark, d), fx.DAILY, {7: "Lag_1week"}, regular=True)
     scaled = scale.apply_scaler_join(
         lagged, daily_scaler(spark, d), ["Consumption", "Lag_1week"], keep_stats=True)
     train, test = clean.split_by_date(scaled, fx.stamp(fx.DAILY_CUT))
@@ -237,7 +237,7 @@ named AS (
 @query("period_metrics", using(fx.NAIVE_SQL, PERIOD_SQL, f"""
 SELECT period, Time_Period, round({MAPE_SQL}, 2) AS MAPE, round({WMAPE_SQL}, 2) AS WMAPE FROM named GROUP BY 1, 2"""))
 def period_metrics(spark, d):
-    return metrics.period_metrics(fx.naive_scored(spark, d))
+    return metrics.period_metrics(cut_lineage(fx.naive_scored(spark, d)))
 
 
 @query("error_box_stats", using(fx.NAIVE_SQL, PERIOD_SQL, f"""
@@ -250,7 +250,7 @@ SELECT period, kind, {q6('q1')} AS q1, {q6('median')} AS median, {q6('q3')} AS q
        {q6('greatest(max(CASE WHEN e <= q3 + 1.5 * (q3 - q1) THEN e END), q3)')} AS whisker_high
 FROM errors JOIN box USING (period, kind) GROUP BY period, kind, q1, median, q3"""))
 def error_box_stats(spark, d):
-    out = metrics.error_box_stats(fx.naive_scored(spark, d))
+    out = metrics.error_box_stats(cut_lineage(fx.naive_scored(spark, d)))
     cols = ["q1", "median", "q3", "whisker_low", "whisker_high"]
     return out.select("period", "kind", *[r6(c).alias(c) for c in cols])
 
@@ -276,7 +276,7 @@ m{lag} AS (SELECT CASE WHEN grouping(Cluster) = 1 THEN 'Global' ELSE CAST(Cluste
 @query("model_comparison", using(fx.DAILY_SQL, errors_sql(7, "week"), errors_sql(1, "day"),
        "SELECT * FROM m7 JOIN m1 USING (Cluster)"))
 def model_comparison(spark, d):
-    lagged = features.add_lags(fx.daily_meter(spark, d), fx.DAILY, {7: "week", 1: "day"})
+    lagged = features.add_lags(fx.daily_meter(spark, d), fx.DAILY, {7: "week", 1: "day"}, regular=True)
     _, test = clean.split_by_date(lagged.withColumnRenamed("Consumption", "Actual_kW"), fx.stamp(fx.DAILY_CUT))
     tables = {
         name: metrics.cluster_metrics(metrics.portfolio_sum(test.withColumn("Predicted_kW", F.col(name))))
@@ -371,18 +371,20 @@ def request_errors(spark, d):
 
 @query("forecast_batch")
 def forecast_batch(spark, d):
-    """Fit all four models, save them, then serve every request from the saved tables.
+    """Fit and save all four models, then serve every request from the saved tables.
 
-    The event data is one month long, so stamps are moved one year back before serving: the
-    mirrored year-old rows are then the last days of that month.
+    The event data is one month long, so the origin is one year after its last days: those are
+    the rows that get mirrored. Each model is saved once, for any mode.
     """
     table = cut_lineage(fx.hourly_features(spark, d))
     path = shared_dir(spark)
-    for model in study.MODELS:
-        for mode in ("day_ahead",) if model == "lr" else ("day_ahead", "long_term"):
-            out = study.fit_and_score(table, model, mode, fx.stamp(fx.HOURLY_CUT), fx.HOURLY, fx.HOUR)
-            saved_as = store.ANY_MODE if model == "lr" else mode
-            store.save_model(out.tables, path, model, saved_as)
+    plans = [
+        ("lr", "day_ahead", store.ANY_MODE), ("prophet", "long_term", store.ANY_MODE),
+        ("sarimax", "day_ahead", store.ANY_MODE), ("nst", "day_ahead", store.ANY_MODE),
+    ]
+    for model, mode, saved_as in plans:
+        out = study.fit_and_score(table, model, mode, fx.stamp(fx.HOURLY_CUT), fx.HOURLY, fx.HOUR)
+        store.save_model(out.tables, path, model, saved_as)
     return serving.forecast_batch(
         all_requests(spark, d), table, path, fx.stamp("2025-01-29 00:00:00"), s=fx.HOURLY, hour=fx.HOUR)
 

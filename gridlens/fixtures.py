@@ -223,7 +223,7 @@ def naive_scored(spark: SparkSession, d: str) -> DataFrame:
     """Daily readings from the cut on with the value seven days before as the prediction."""
     from gridlens.operators.features import add_lags
 
-    lagged = add_lags(daily_meter(spark, d), DAILY, {7: "Predicted_kW"})
+    lagged = add_lags(daily_meter(spark, d), DAILY, {7: "Predicted_kW"}, regular=True)
     return lagged.withColumnRenamed("Consumption", "Actual_kW").filter(
         F.col("Date") >= stamp(DAILY_CUT)
     )

@@ -119,14 +119,28 @@ def fourier_terms(ts: Column | str, period_days: float, order: int, prefix: str)
     return terms
 
 
-def holiday_columns(ts: Column | str, suspended: Sequence[int] = SUSPENDED_YEARS) -> list[Column]:
+def with_holiday_columns(
+    df: DataFrame, time: str = "Date", suspended: Sequence[int] = SUSPENDED_YEARS
+) -> tuple[DataFrame, list[str]]:
     """One 0/1 column per holiday, so that a model can learn each day's own effect."""
-    day = _col(ts).cast("date")
-    from_easter = F.datediff(day, easter_date(F.year(day)))
-    month_day = F.month(day) * 100 + F.dayofmonth(day)
-    kept = ~F.year(day).isin(list(suspended)) if suspended else F.lit(True)
-    days = [(f"m{m}_d{d}", month_day == m * 100 + d) for m, d in FIXED_HOLIDAYS]
-    days += [(f"easter_{n}", from_easter == n) for n in EASTER_HOLIDAYS]
-    days += [(f"m{m}_d{d}", (month_day == m * 100 + d) & kept) for m, d in SUSPENDABLE_HOLIDAYS]
-    days += [(f"easter_{n}", (from_easter == n) & kept) for n in SUSPENDABLE_EASTER_HOLIDAYS]
-    return [test.cast("int").alias(f"holiday_{name.replace('-', 'minus')}") for name, test in days]
+    day = F.col(time).cast("date")
+    # Own columns for the distance to Easter and the day of the year, used many times below.
+    staged = df.withColumns(
+        {
+            "_easter": F.datediff(day, easter_date(F.year(day))),
+            "_month_day": F.month(day) * 100 + F.dayofmonth(day),
+            "_kept": ~F.year(day).isin(list(suspended)) if suspended else F.lit(True),
+        }
+    )
+    month_day, from_easter, kept = F.col("_month_day"), F.col("_easter"), F.col("_kept")
+    tests = {f"holiday_{m}_{d}": month_day == m * 100 + d for m, d in FIXED_HOLIDAYS}
+    tests |= {f"holiday_easter_{i}": from_easter == n for i, n in enumerate(EASTER_HOLIDAYS)}
+    tests |= {
+        f"holiday_{m}_{d}": (month_day == m * 100 + d) & kept for m, d in SUSPENDABLE_HOLIDAYS
+    }
+    tests |= {
+        f"holiday_easter_off_{i}": (from_easter == n) & kept
+        for i, n in enumerate(SUSPENDABLE_EASTER_HOLIDAYS)
+    }
+    flagged = staged.withColumns({name: test.cast("int") for name, test in tests.items()})
+    return flagged.drop("_easter", "_month_day", "_kept"), list(tests)

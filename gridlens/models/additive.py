@@ -15,7 +15,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.functions.dates import fourier_terms, holiday_columns
+from gridlens.functions.dates import fourier_terms, with_holiday_columns
 from gridlens.models.linalg import gram, predict, solve
 from gridlens.operators import series as S
 
@@ -50,11 +50,14 @@ class Design:
             seasons += fourier_terms(time, *WEEKLY, "weekly")
         if self.days >= 730:
             seasons += fourier_terms(time, *YEARLY, "yearly")
-        return trend, bends, [*seasons, *holiday_columns(time)]
+        return trend, bends, seasons
 
     def apply(self, df: DataFrame, cluster: str, time: str, keep: Sequence[str]):
         trend, bends, effects = self.columns(time)
-        wide = df.select(cluster, time, *keep, *self.inputs, *trend, *bends, *effects)
+        dated, holidays = with_holiday_columns(df, time)
+        wide = dated.select(
+            cluster, time, *keep, *self.inputs, *holidays, *trend, *bends, *effects
+        )
         names = [c for c in wide.columns if c not in (cluster, time, *keep)]
         return wide, names
 

@@ -1,7 +1,8 @@
-"""Model tables in Parquet, one folder per model and mode."""
+"""Model tables in Parquet: one table per model and part, one partition per mode."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,15 +10,14 @@ ANY_MODE = "any"
 
 
 def save_model(tables: dict[str, DataFrame], path: str, model: str, mode: str = ANY_MODE) -> None:
-    """Each table goes to ``path/<table>/model=…/mode=…``; saving again replaces only that part."""
+    """Each table goes to ``path/<model>/<table>/mode=…``; saving again replaces only that mode."""
     for name, df in tables.items():
         (
-            df.withColumn("model", F.lit(model))
-            .withColumn("mode", F.lit(mode))
+            df.withColumn("mode", F.lit(mode))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("model", "mode")
-            .parquet(f"{path}/{name}")
+            .partitionBy("mode")
+            .parquet(f"{path}/{model}/{name}")
         )
 
 
@@ -26,10 +26,13 @@ def load_model(spark: SparkSession, path: str, model: str, mode: str,
     """Tables of the model in that mode, or else the ones saved for any mode."""
     found = {}
     for name in tables:
-        whole = spark.read.parquet(f"{path}/{name}").filter(F.col("model") == model)
+        try:
+            whole = spark.read.parquet(f"{path}/{model}/{name}")
+        except AnalysisException:
+            raise FileNotFoundError(f"no {name} of model {model!r} in {path}") from None
         exact = whole.filter(F.col("mode") == mode)
         part = whole.filter(F.col("mode") == ANY_MODE) if exact.isEmpty() else exact
         if part.isEmpty():
             raise FileNotFoundError(f"no {name} of model {model!r} for mode {mode!r} in {path}")
-        found[name] = part.drop("model", "mode")
+        found[name] = part.drop("mode")
     return found

@@ -116,7 +116,7 @@ def _sse(weight: Column, total: Column, squares: Column) -> Column:
     return F.when(weight > 0, squares - total * total / weight).otherwise(F.lit(0.0))
 
 
-def jenks_breaks(values: DataFrame, value: str, fan_out: int = 16,
+def jenks_breaks(values: DataFrame, value: str, fan_out: int = 32,
                  bucket_rows: int = 200_000) -> DataFrame:
     """Exact natural breaks into three classes: one row (low, break_1, break_2, high).
 

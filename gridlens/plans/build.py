@@ -10,6 +10,7 @@ from gridlens.operators import clean, merge, reshape, segment
 from gridlens.operators.features import LAG_NAMES, add_lags_and_rolling
 from gridlens.operators.series import Series
 from gridlens.operators.weather import join_weather
+from gridlens.session import cut_lineage
 
 
 def long_readings(wide: DataFrame) -> DataFrame:
@@ -46,8 +47,11 @@ def process_data(
 ) -> DataFrame:
     """Clean, add weather and lags, segment on the rows before ``cut``, and label all rows."""
     kept = clean.clean_clients(readings, active_days)
-    featured = add_lags_and_rolling(
-        join_weather(kept, weather), s, names, day, rolling, baseline, baseline_least
+    # Written once: the segments below read it several times, and so does the last join.
+    featured = cut_lineage(
+        add_lags_and_rolling(
+            join_weather(kept, weather), s, names, day, rolling, baseline, baseline_least
+        )
     )
     train, _ = clean.split_by_date(featured, cut)
     return merge.attach_segments(featured, segments(train, k, starts=starts))

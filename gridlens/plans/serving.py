@@ -94,10 +94,11 @@ def _additive(future: DataFrame, tables: dict[str, DataFrame], s: Series) -> Dat
     )
 
 
-def _autoregressive(future: DataFrame, tables: dict[str, DataFrame], s: Series, hour: int,
-                    inputs: list[str]) -> DataFrame:
+def _autoregressive(future: DataFrame, tables: dict[str, DataFrame], s: Series,
+                    hour: int) -> DataFrame:
     """One recursion per request, from the cluster's last known day and the client's inputs."""
     per = hour // s.step
+    inputs = tables["features"].first()["names"]
     flags = [c for c in inputs if c in ols.FLAGS]
     ready = future.withColumns({c: F.col(c).cast("double") for c in flags})
     hourly = resample.hourly_block_mean(ready, ["request_id", "Cluster"], "step", inputs, per)
@@ -148,7 +149,7 @@ def _windowed(asked: DataFrame, history: DataFrame, tables: dict[str, DataFrame]
 TABLES = {
     "lr": ["coefs", "features", "scalers"],
     "prophet": ["coefs", "design", "scalers"],
-    "sarimax": ["coefs", "state", "scalers"],
+    "sarimax": ["coefs", "state", "features", "scalers"],
     "nst": ["coefs", "scalers"],
 }
 
@@ -197,7 +198,6 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
     for (model, mode), tables in loaded.items():
         mine = (F.col("model") == model) & (F.col("mode") == mode)
         future = future_all.filter(mine)
-        inputs = ols.regressors(mode, features.columns, flags=model != "prophet")
         if model == "nst":
             part = _windowed(good.filter(mine), history, tables, s, hour)
         else:
@@ -207,7 +207,7 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
             elif model == "prophet":
                 part = _additive(ready, tables, s)
             else:
-                part = _autoregressive(ready, tables, s, hour, inputs)
+                part = _autoregressive(ready, tables, s, hour)
         parts.append(part.select("request_id", "step", SCALED))
     scaled = cut_lineage(reshape.union_splits(*parts))
     who = good.select("request_id", "ClientID", "model", "mode")

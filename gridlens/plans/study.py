@@ -139,7 +139,8 @@ def _cluster_level(p: Prepared, features: DataFrame, model: str, mode: str,
         coefs, state = seasonal_arx.fit(past, coarse, ols.TARGET, inputs)
         coefs, state = cut_lineage(coefs), cut_lineage(state)
         forecast = seasonal_arx.forecast(coefs, state, ahead.drop(ols.TARGET), coarse, inputs)
-        tables.update(coefs=coefs, state=state)
+        order = coefs.sparkSession.createDataFrame([(inputs,)], "names array<string>")
+        tables.update(coefs=coefs, state=state, features=order)
     else:
         marked = windows.tail_validation(past, coarse)
         fitted = marked.filter(~F.col("is_validation")).drop("is_validation")

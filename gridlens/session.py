@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,11 @@ def build_session(app: str, cores: str = "8", memory: str = "8g") -> SparkSessio
     return configure(spark)
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder every executor can reach.
 
@@ -52,8 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_dir()
     return f"{base.rstrip('/')}/gridlens-{uuid.uuid4().hex}"
 
 
