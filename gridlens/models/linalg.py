@@ -88,10 +88,13 @@ def solve(sums: DataFrame, groups: Sequence[str], n_features: int, targets: Sequ
             a = a + np.diag(np.where(moves, np.asarray(penalty) / n / unit**2, 0.0))
         b = cov[:k, k:] / unit[:, None]
         b[~moves, :] = 0.0
-        value, vector = np.linalg.eigh(a)
+        # A ridge weight can dwarf the column it belongs to: bring the diagonal back to 1 before
+        # small eigenvalues are judged.
+        level = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+        value, vector = np.linalg.eigh(a / np.outer(level, level))
         keep = value > tolerance * max(value.max(initial=0.0), 1e-300)
         inverse = (vector[:, keep] / value[keep]) @ vector[:, keep].T
-        coef = (inverse @ b) / unit[:, None]
+        coef = (inverse @ (b / level[:, None])) / (level * unit)[:, None]
         intercept = mean[k:] - mean[:k] @ coef
         out = pd.DataFrame(
             {
@@ -109,10 +112,16 @@ def solve(sums: DataFrame, groups: Sequence[str], n_features: int, targets: Sequ
 
 
 def dot(features: Sequence[str], coef: Column, intercept: Column) -> Column:
-    total = intercept
-    for n, f in enumerate(features):
-        total = total + F.col(f).cast("double") * coef.getItem(n)
-    return total
+    """Weighted sum. Many terms go through arrays: written out, they outgrow the size limit of
+    a generated method."""
+    if len(features) <= 16:
+        total = intercept
+        for n, f in enumerate(features):
+            total = total + F.col(f).cast("double") * coef.getItem(n)
+        return total
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    products = F.zip_with(values, coef, lambda x, c: x * c)
+    return F.aggregate(products, F.lit(0.0), lambda a, p: a + p) + intercept
 
 
 def predict(df: DataFrame, coefs: DataFrame, groups: Sequence[str], features: Sequence[str],

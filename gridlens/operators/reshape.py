@@ -43,7 +43,7 @@ def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = True,
             keep: bool = False) -> DataFrame:
     """0/1 columns over fixed levels, so train and serving always agree on the columns."""
     dummies = {
-        f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
+        f"{c}_{v}": F.when(F.col(c) == F.lit(v), 1).otherwise(0)
         for c, vs in levels.items()
         for v in (vs[1:] if drop_first else vs)
     }
