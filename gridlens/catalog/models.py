@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from gridlens import fixtures as fx
 from gridlens.catalog.basics import LAG7_FIT_SQL, lag7_fit
 from gridlens.catalog.registry import q6, query, r6, using
-from gridlens.catalog.series import MAPE_SQL, PORTFOLIO_SQL, SCALER_SQL, WMAPE_SQL, daily_scaler
+from gridlens.catalog.series import MAPE_SQL, SCALER_SQL, WMAPE_SQL, daily_scaler
 from gridlens.functions import dates
-from gridlens.models import ols, seasonal_arx, store, windowed
+from gridlens.models import ols, store
 from gridlens.operators import (
     clean, diagnostics, features, merge, metrics, reshape, scale, segment, weather, windows,
 )
@@ -344,8 +344,8 @@ MODEL_OF = "CASE user_id % 6 WHEN 0 THEN 'LR' WHEN 1 THEN 'prophet' WHEN 2 THEN
 
 
 def all_requests(spark, d):
-    """One request per user, written in three ways, plus one per event number that names no
-    user; models cycle and include an unknown one."""
+    """One request per user, written in three ways, one of which names no client; models cycle
+    and include an unknown one."""
     users = fx.table(spark, d, "events").select("user_id").distinct()
     key = F.col("user_id").cast("string")
     written = (

@@ -164,7 +164,7 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
     has_weather = any(c in features.columns for c in ols.WEATHER)
     shared = ["scalers", "clusters"]
     steps = (F.col("horizon_hours") * (hour // s.step)).cast("int")
-    parts, failed = [], None
+    parts = []
     base = {m: TABLES[m] + (["weather"] if has_weather else []) for m in MODELS}
     loaded = {}
     for model in MODELS:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlens.models import additive, linalg, ols, seasonal_arx, store, windowed
-from gridlens.operators import diagnostics, metrics, reshape, segment, windows
+from gridlens.operators import diagnostics, metrics, segment, windows
 from gridlens.operators.series import Series
 from gridlens.plans import build, serving, study
 
