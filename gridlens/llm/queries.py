@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlens.llm import mixing, quality_rules, sharding
+from gridlens.llm import bpe, language_id, mixing, ngram_join, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", language_id.held_out(F.col("doc_id")).alias("held_out")
+    )
+    languages, prototypes = language_id.train(docs.where("not held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), languages, prototypes)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.coded(docs, tokenizer_path(), digests=True)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shuffle_to_shards(table(spark, sf_dir, "documents"))
     return dealt.select(
@@ -31,9 +50,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *mixing.OUTPUTS)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_by_ngrams(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}
