@@ -27,8 +27,9 @@ from gridlens.session import cut_lineage
 COUNTED = 0.3
 #: Counts are told apart up to this; commoner tokens rank equal.
 COMMON = 64
-#: Documents that meet in one task are two blocks of about this many.
-BLOCK = 256
+#: Documents that meet at once are two blocks of about so many documents and tokens at most.
+BLOCK = 1_024
+BLOCK_TOKENS = 1_000_000
 _EDGE = int(-(2**63) + COUNTED * 2**64)
 OUTPUTS = ["n_shingles", "n_links", "component_id"]
 
@@ -280,8 +281,8 @@ def join_by_ngrams(docs: DataFrame, percent: int = 80) -> DataFrame:
     clusters = components(on.join(hubs, "token").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
     clusters = clusters.withColumnsRenamed({"node": "fp", "component": "cluster"})
 
-    sizes = clusters.groupBy("cluster").count().select(
-        "cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("n_blocks")
+    sizes = clusters.join(prefixes.select("fp", "n"), "fp").groupBy("cluster").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("n_blocks")
     )
     block = F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int")
     members = cut_lineage(
