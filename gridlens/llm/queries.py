@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlens.llm import bpe, embedding_dedup, language_id, mixing, ngram_join, quality_rules, secrets, sharding
+from gridlens.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *mixing.OUTPUTS)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+    )
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_by_ngrams(table(spark, sf_dir, "documents"))
 
@@ -76,6 +84,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}
