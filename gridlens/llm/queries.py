@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlens.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, secrets, sharding
+from gridlens.llm import bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, quality_rules, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages.select("page_id", "url", "html"), html_extract.train(pages))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
