@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlens.llm import quality_rules
+from gridlens.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
+from gridlens.llm.queries import tokenizer_path
 from gridlens.session import shared_dir
 
 
@@ -14,7 +15,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality)]
+def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that repeat an earlier one; documents that had no other line go."""
+    left = line_dedup.without_repeated_lines(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by 80 % common shingles."""
+    return ngram_join.one_of_each_group(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to twice; parts of a document count by halves and up."""
+    plan = mixing.mix_sources(docs)
+    times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
+    copies = F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")
+    return plan.select(*docs.columns, copies).drop("_copy")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document of the mix."""
+    return bpe.coded(docs.select("doc_id", "text"), tokenizer_path(), digests=True)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", line_repeats),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing", mixed),
+    ("BPE", encoded),
+]
 
 #: Learned rules and the tokenizer cannot be put in SQL.
 ORACLE_SQL = None
