@@ -6,18 +6,27 @@ thin the pairs, and the rest is compared set by set. A line goes if any earlier
 
 Pairs are first formed with the earliest line of each shared token only. That settles nearly all lines of
 a large group; only those it does not settle are paired with all others of their tokens.
+
+Words are cut and hashed in Arrow batches: as DataFrame functions this took three times the CPU
+time that is allowed (see the README). All joins, counts and filters are DataFrame operations.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridlens.llm.common import clear_of, join_same, let, small_or_shuffled, text_of, words
+from gridlens.llm.arrow import list_array
+from gridlens.llm.common import clear_of, join_same, small_or_shuffled, text_of
+from gridlens.llm.shingles import SLICE, WORDS, Hasher, fingerprint, shingled, short_shingle
 from gridlens.session import cut_lineage
 
-WORDS = 5
 #: Hash classes in which words are counted; a token is as rare as the class of its first word.
 CLASSES = 1 << 16
 #: Bits of a token that hold its rarity, in half powers of two.
@@ -25,47 +34,80 @@ LEVEL_BITS = 6
 OUTPUTS = ["n_lines", "removed"]
 
 
-def _class_of(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(CLASSES))
-
-
-def rarity_levels(docs: DataFrame) -> Column:
-    """For each hash class how common its words are, as an array expression of CLASSES numbers."""
-    counts = (
-        docs.select(F.explode(words(text_of())).alias("word"))
-        .groupBy(_class_of(F.col("word")).alias("class")).agg(F.count("*").alias("n"))
-    )
-    levels = [0] * CLASSES
+def _line_words(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """A few megabytes of texts at a time: number of the first one, line counts, and the word hashes
+    and line bounds of all their lines."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    at = 0
+    while at < len(column):
+        end = min(len(column), max(at + 1, int(np.searchsorted(upto, upto[at] + 4 * SLICE, side="right")) - 1))
+        lines = pc.split_pattern(pc.fill_null(column.slice(at, end - at), ""), "\n")
+        counts = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(lines)
+        lengths = pc.binary_length(flat).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        data = np.frombuffer(b"".join(b.as_buffer() for b in flat.cast(pa.binary())), np.uint8)
+        words, places = hasher.words(data, np.unique(bounds[:-1][bounds[:-1] < bounds[-1]]))
+        yield at, counts, words, np.searchsorted(places, bounds)
+        at = end
+
+
+def rarity_levels(docs: DataFrame) -> np.ndarray:
+    """For each hash class how common its words are, over all texts. A task sends its sums once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, total = Hasher(), np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for _, _, words, _ in _line_words(batch.column("text"), hasher):
+                total += np.bincount((words % CLASSES).astype(np.int64), minlength=CLASSES)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["class", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    levels = np.zeros(CLASSES, np.int64)
     for row in counts.collect():  # CLASSES rows at most
         levels[row["class"]] = min(2**LEVEL_BITS - 1, int(2 * math.log2(row["n"])))
-    # A constant that Spark folds once; as a list of literals it would be CLASSES expressions.
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
-
-
-def _tokens(line: Column, levels: Column) -> Column:
-    """Sorted distinct tokens of a line: rarity in the upper bits, then a hash. Empty without words."""
-    def shingles(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - WORDS + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.shiftleft(
-            F.get(levels, _class_of(F.element_at(w, i))).cast("long"), 63 - LEVEL_BITS
-        ).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.slice(w, i, WORDS)), LEVEL_BITS + 1)))
-
-    return F.sort_array(F.array_distinct(let(
-        words(line), lambda w: F.when(F.size(w) > 0, shingles(w)).otherwise(F.array().cast("array<bigint>"))
-    )))
-
-
-def _prefix(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100).cast("int") + 1
-
-
-def _lines(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """One row a line with words: its document, place, class key, token count and tokens."""
-    split = docs.select(
-        "doc_id", F.crc32(text_of().cast("binary")).alias("crc"), F.posexplode(F.split(text_of(), "\n", -1)).alias("pos", "line")
+    return levels
+
+
+def _lines(docs: DataFrame, levels: np.ndarray, percent: int, whole: bool) -> DataFrame:
+    """One row a line with words: doc_id, crc, pos, key of its token set, token count n, and the
+    sorted tokens: all, or those of the prefix. A token has its rarity in the upper bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            text = batch.column("text")
+            for at, counts, words, upto in _line_words(text, hasher):
+                owner = at + np.repeat(np.arange(len(counts)), counts)
+                pos = np.concatenate([np.arange(c) for c in counts]) if len(counts) else owner
+                level = levels[(words % CLASSES).astype(np.int64)] << (63 - LEVEL_BITS)
+                rows, keys, sizes, tokens = [], [], [], []
+                crcs = {i: zlib.crc32((text[int(i)].as_py() or "").encode()) for i in np.unique(owner)}
+                shingles = (shingled(words) >> np.uint64(LEVEL_BITS + 1)).astype(np.int64)
+                for i in np.flatnonzero(upto[1:] > upto[:-1]).tolist():
+                    a, b = upto[i], upto[i + 1]
+                    if b - a >= WORDS:
+                        own = np.sort(level[a:b - WORDS + 1] | shingles[a:b - WORDS + 1])
+                        own = own[np.append(True, own[1:] != own[:-1])]
+                    else:
+                        own = level[a:a + 1] | (short_shingle(words[a:b]) >> np.uint64(LEVEL_BITS + 1)).astype(np.int64)
+                    rows.append(i)
+                    keys.append(fingerprint(own))
+                    sizes.append(len(own))
+                    tokens.append(own if whole else own[:len(own) - -(-percent * len(own) // 100) + 1])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(owner[rows])), pa.array([crcs[i] for i in owner[rows]], pa.int64()),
+                     pa.array(pos[rows].astype(np.int32)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()),
+                     list_array(tokens, pa.int64())],
+                    names=["doc_id", "crc", "pos", "key", "n", "tokens"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, crc long, pos int, key long, n int, tokens array<long>"
     )
-    tokens = split.select("doc_id", "crc", "pos", _tokens(F.col("line"), levels).alias("tokens"))
-    return tokens.withColumn("n", F.size("tokens")).where("n > 0").withColumn("key", F.xxhash64("tokens"))
 
 
 def _close(x: str, y: str, percent: int) -> Column:
@@ -89,9 +131,7 @@ def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, crc, pos) of every line that an earlier line matches."""
     levels = rarity_levels(docs)
-    lines = cut_lineage(_lines(docs, levels, percent).select(
-        "doc_id", "crc", "pos", "key", "n", F.slice("tokens", F.lit(1), _prefix(F.col("n"), percent)).alias("prefix")
-    ))
+    lines = cut_lineage(_lines(docs, levels, percent, whole=False).withColumnRenamed("tokens", "prefix"))
     place = F.struct("doc_id", "crc", "pos")
     firsts = cut_lineage(lines.groupBy("key").agg(F.min(place).alias("place")))
 
@@ -106,23 +146,27 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = shared.join(earliest, "token").where((F.col("at.key") != F.col("to.key")) & near)
     pairs = cut_lineage(pairs.select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct())
 
-    wanted = small_or_shuffled(shared.select(F.col("at.place.doc_id").alias("doc_id")).distinct(), 1_000_000)
-    some = join_same(docs.select("doc_id", "text"), wanted, ["doc_id"], "left_semi")
-    keys = shared.select(F.col("at.key").alias("key")).distinct()
-    sets = cut_lineage(
-        _lines(some, levels, percent).select("key", "tokens").join(small_or_shuffled(keys, 1_000_000), "key", "left_semi")
-        .dropDuplicates(["key"])
-    )
-    settled = cut_lineage(_matched(pairs, sets, percent))
+    def sets_of(some_pairs: DataFrame) -> DataFrame:
+        """Token sets of the lines in these pairs, read again from the documents that hold them."""
+        keys = some_pairs.select(F.col("x").alias("key")).union(some_pairs.select("y")).distinct().join(firsts, "key")
+        keys = cut_lineage(keys.select("key", "place.doc_id"))
+        ids = small_or_shuffled(keys.select("doc_id").distinct(), 1_000_000)
+        found = _lines(join_same(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi"), levels, percent, whole=True)
+        return cut_lineage(
+            found.select("key", "tokens").join(small_or_shuffled(keys.select("key"), 1_000_000), "key", "left_semi")
+            .dropDuplicates(["key"])
+        )
+
+    settled = cut_lineage(_matched(pairs, sets_of(pairs), percent))
 
     open_ones = shared.join(settled, F.col("at.key") == settled["key"], "left_anti")
     others = shared.withColumnRenamed("at", "to")
-    rest = (
+    rest = cut_lineage(
         open_ones.join(others, "token").where((F.col("to.place") < F.col("at.place")) & near)
         .select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct()
         .join(pairs, ["x", "y"], "left_anti")
     )
-    gone = settled.union(_matched(rest, sets, percent)).withColumn("gone", F.lit(True))
+    gone = settled.union(_matched(rest, sets_of(rest), percent)).withColumn("gone", F.lit(True))
     return (
         lines.select("doc_id", "crc", "pos", "key").join(firsts, "key").join(gone, "key", "left")
         .where(F.col("gone").isNotNull() | ~F.col("place").eqNullSafe(place)).select("doc_id", "crc", "pos")
@@ -133,7 +177,7 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """All rows and columns of ``docs``, the text without removed lines, with n_lines and removed.
 
     A line matches an earlier one when 100 * common shingles >= ``percent`` * shingles of either;
-    lines of one to four words are one shingle. Earlier means a smaller doc_id (null first), or
+    lines of one to four words are one shingle, and A to Z count as a to z. Earlier means a smaller doc_id (null first), or
     further up in the text. Every match counts, also by a line that is itself removed. ``removed``
     holds the places of removed lines, counted from 0; ``n_lines`` counts all.
 

@@ -35,6 +35,21 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def shingled(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of WORDS words."""
+    n = max(0, len(words) - WORDS + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(WORDS):
+        out += words[i:i + n] * _PLACES[i]
+    return _mix(out)
+
+
+def short_shingle(words: np.ndarray) -> np.ndarray:
+    """The one hash of a text of fewer words."""
+    total = (words * _PLACES[:len(words)]).sum(dtype=np.uint64)
+    return _mix(np.array([total], np.uint64) + np.uint64(len(words)))
+
+
 class Hasher:
     """Word hashes: sums of byte values times powers of a base, taken from running sums."""
 
@@ -86,21 +101,15 @@ class Hasher:
         words, places = self.words(data, np.unique(offsets[:-1][offsets[:-1] < offsets[-1]]))
         upto = np.searchsorted(places, offsets)
         out = []
-        with np.errstate(over="ignore"):
-            n = max(0, len(words) - WORDS + 1)
-            rolled = np.zeros(n, np.uint64)
-            for i in range(WORDS):
-                rolled += words[i:i + n] * _PLACES[i]
-            rolled = _mix(rolled).view(np.int64)
-            for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
-                if b - a >= WORDS:
-                    own = np.sort(rolled[a:b - WORDS + 1])
-                    out.append(own[np.append(True, own[1:] != own[:-1])])
-                elif b > a:
-                    short = (words[a:b] * _PLACES[:b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
-                    out.append(_mix(np.array([short], np.uint64)).view(np.int64))
-                else:
-                    out.append(np.empty(0, np.int64))
+        rolled = shingled(words).view(np.int64)
+        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
+            if b - a >= WORDS:
+                own = np.sort(rolled[a:b - WORDS + 1])
+                out.append(own[np.append(True, own[1:] != own[:-1])])
+            elif b > a:
+                out.append(short_shingle(words[a:b]).view(np.int64))
+            else:
+                out.append(np.empty(0, np.int64))
         return out
 
 
