@@ -118,6 +118,39 @@ def _close(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ix, ny - iy) + F.least(ix, iy) >= needed)
 
 
+def _of_two_lines(sent: DataFrame) -> DataFrame:
+    """Each (token, key, n, i) once, where the token occurs in two different lines or more.
+
+    Rows come sorted by token and key; a row stays if one beside it has its token, so only the
+    last row of a batch is ever held.
+    """
+    names = ["token", "key", "n", "i"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, joined = None, False
+        for batch in batches:
+            rows = batch.select(names)
+            if held is not None:
+                rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+            if not rows.num_rows:
+                continue
+            t, k = rows.column("token").to_numpy(), rows.column("key").to_numpy()
+            new = np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))
+            rows, t = rows.filter(pa.array(new)), t[new]
+            same = t[1:] == t[:-1]
+            keep = np.append(same, False) | np.append(joined and held is not None, same)
+            joined = bool(keep[-1])
+            held = rows.slice(len(t) - 1)
+            yield rows.slice(0, len(t) - 1).filter(pa.array(keep[:-1]))
+        if held is not None and joined:
+            yield held
+
+    return (
+        sent.select(*names).repartition("token").sortWithinPartitions("token", "key")
+        .mapInArrow(run, "token long, key long, n int, i int")
+    )
+
+
 def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later lines (x) of pairs whose sets reach the threshold."""
     both = (
@@ -135,11 +168,9 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     place = F.struct("doc_id", "crc", "pos")
     firsts = cut_lineage(lines.groupBy("key").agg(F.min(place).alias("place")))
 
-    sent = lines.select("key", "n", F.posexplode("prefix").alias("i", "token")).repartition("token")
-    ends = sent.groupBy("token").agg(F.min(F.struct("key", "n", "i")).alias("lo"), F.max(F.struct("key", "n", "i")).alias("hi"))
+    sent = lines.select("key", "n", F.posexplode("prefix").alias("i", "token"))
     shared = cut_lineage(
-        sent.join(ends.where("lo.key <> hi.key").select("token"), "token").join(firsts, "key")
-        .select("token", F.struct("place", "key", "n", "i").alias("at")).distinct()
+        _of_two_lines(sent).join(firsts, "key").select("token", F.struct("place", "key", "n", "i").alias("at"))
     )
     earliest = shared.groupBy("token").agg(F.min("at").alias("to"))
     near = _close("at", "to", percent)
