@@ -340,7 +340,7 @@ def client_profiles(spark, d):
     return serving.client_profiles(meter, step_hours=24.0)
 
 
-MODEL_OF = "CASE user_id % 6 WHEN 0 THEN 'LR' WHEN 1 THEN 'prophet' WHEN 2 THEN 'sarimax' WHEN 3 THEN 'nst' WHEN 4 THEN 'lr' ELSE 'arima' END"
+MODEL_OF = "CASE CAST(FLOOR(user_id / 3) AS BIGINT) % 6 WHEN 0 THEN 'LR' WHEN 1 THEN 'prophet' WHEN 2 THEN 'sarimax' WHEN 3 THEN 'nst' WHEN 4 THEN 'lr' ELSE 'arima' END"
 
 
 def all_requests(spark, d):

@@ -60,7 +60,7 @@ def request_errors(requests: DataFrame, clusters: DataFrame, scalers: DataFrame,
     )
     error = (
         F.when(F.col("Cluster").isNull(),
-               F.concat(F.lit("ClientID '"), F.col("ClientID"), F.lit("' not found.")))
+               F.concat(F.lit("ClientID '"), F.coalesce("ClientID", F.lit("none")), F.lit("' not found.")))
         .when(F.col("model").isNull() | ~F.col("model").isin(list(models)),
               F.concat(F.lit("Unknown model: "), F.coalesce("model", F.lit("none"))))
         .when(F.col("_scaler").isNull(),
@@ -183,7 +183,10 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
     )
     pairs = F.concat_ws("/", "model", "mode").isin([f"{m}/{d}" for m, d in loaded])
     checked = checked.withColumn(
-        "error", F.coalesce("error", F.when(~pairs, F.lit("No model saved for this mode.")))
+        "error", F.coalesce(
+            "error", F.when(~pairs, F.lit("No model saved for this mode.")),
+            F.when(F.coalesce("horizon_steps", F.lit(0)) <= 0, F.lit("The horizon must be positive.")),
+        )
     )
     # Written once: every model reads the checked requests and their future rows.
     checked = cut_lineage(checked)
@@ -208,10 +211,11 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
                 part = _additive(ready, tables, s)
             else:
                 part = _autoregressive(ready, tables, s, hour)
-        parts.append(part.select("request_id", "step", SCALED))
-    scaled = cut_lineage(reshape.union_splits(*parts))
-    who = good.select("request_id", "ClientID", "model", "mode")
-    rows = attach(scaled.join(who, "request_id"), common["scalers"], ["ClientID"], "left")
+        who = good.filter(mine).select("request_id", "ClientID", "model", "mode")
+        scaled = part.select("request_id", "step", SCALED).join(who, "request_id")
+        # Each model and mode was trained with scalers of its own.
+        parts.append(attach(scaled, tables.get("scalers", common["scalers"]), ["ClientID"], "left"))
+    rows = cut_lineage(reshape.union_splits(*parts))
     kw = F.round(clamp_nonneg(F.col(SCALED) * F.col("std") + F.col("mean")), 3)
     ts = origin + F.expr(f"INTERVAL '{s.step}' SECOND") * F.col("step")
     served = rows.select(

@@ -142,9 +142,8 @@ def _cluster_level(p: Prepared, features: DataFrame, model: str, mode: str,
         order = coefs.sparkSession.createDataFrame([(inputs,)], "names array<string>")
         tables.update(coefs=coefs, state=state, features=order)
     else:
-        marked = windows.tail_validation(past, coarse)
-        fitted = marked.filter(~F.col("is_validation")).drop("is_validation")
-        coefs = cut_lineage(windowed.fit(fitted, coarse, ols.TARGET))
+        # The fit has no early stop that would need held-out rows: it takes all of the past.
+        coefs = cut_lineage(windowed.fit(past, coarse, ols.TARGET))
         starts = ahead.groupBy("Cluster").agg(F.min(s.time).alias("_start"))
         whole = past.unionByName(ahead).join(starts, "Cluster")
         origins = windows.window_origins(whole, coarse, ols.TARGET, "_start")
