@@ -4,6 +4,10 @@ A line is the set of its five-word shingles. Tokens are ordered by rarity, and l
 the threshold share a token in their prefixes under that order. Length and positional filters
 thin the pairs, and the rest is compared set by set. A line goes if any earlier line matches it.
 
+Rarity is taken twice. A first, rough order (how common a token's first word is) finds the lines that share
+anything. Among these the tokens are counted exactly, and prefixes are cut again under that order: variants of
+one line then begin with what is their own, and no longer meet in what all of them share.
+
 Pairs are first formed with the earliest line of each shared token only. That settles nearly all lines of
 a large group; only those it does not settle are paired with all others of their tokens.
 
@@ -161,6 +165,25 @@ def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("tx") + F.size("ty") - common)).select(F.col("x").alias("key")).distinct()
 
 
+def _first_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, n, i, token): the prefix of each line under the order by the number of lines that hold a token.
+
+    Tokens of one line come first in that order, and are only counted: they can give no pair.
+    """
+    tokens = sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    common = tokens.join(small_or_shuffled(cut_lineage(counts), 1_000_000), "token").groupBy("key", "n").agg(
+        F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("common")  # tokens of one line
+    )
+    alone = F.col("n") - F.size("common")
+    left = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
+    return (
+        common.withColumns({"alone": alone, "left": left}).where("left > 0")
+        .select("key", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("left"))).alias("at", "of"))
+        .select("key", "n", (F.col("alone") + F.col("at")).alias("i"), F.col("of.token").alias("token"))
+    )
+
+
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, crc, pos) of every line that an earlier line matches."""
     levels = rarity_levels(docs)
@@ -168,27 +191,24 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     place = F.struct("doc_id", "crc", "pos")
     firsts = cut_lineage(lines.groupBy("key").agg(F.min(place).alias("place")))
 
+    # Lines that share a token of their prefixes; their sets are read again from their documents.
     sent = lines.select("key", "n", F.posexplode("prefix").alias("i", "token"))
+    keys = cut_lineage(_of_two_lines(sent).select("key").distinct().join(firsts, "key").select("key", "place.doc_id"))
+    ids = small_or_shuffled(keys.select("doc_id").distinct(), 1_000_000)
+    found = _lines(join_same(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi"), levels, percent, whole=True)
+    sets = cut_lineage(
+        found.select("key", "tokens").join(small_or_shuffled(keys.select("key"), 1_000_000), "key", "left_semi")
+        .dropDuplicates(["key"])
+    )
+
     shared = cut_lineage(
-        _of_two_lines(sent).join(firsts, "key").select("token", F.struct("place", "key", "n", "i").alias("at"))
+        _first_tokens(sets, percent).join(firsts, "key").select("token", F.struct("place", "key", "n", "i").alias("at"))
     )
     earliest = shared.groupBy("token").agg(F.min("at").alias("to"))
     near = _close("at", "to", percent)
     pairs = shared.join(earliest, "token").where((F.col("at.key") != F.col("to.key")) & near)
     pairs = cut_lineage(pairs.select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct())
-
-    def sets_of(some_pairs: DataFrame) -> DataFrame:
-        """Token sets of the lines in these pairs, read again from the documents that hold them."""
-        keys = some_pairs.select(F.col("x").alias("key")).union(some_pairs.select("y")).distinct().join(firsts, "key")
-        keys = cut_lineage(keys.select("key", "place.doc_id"))
-        ids = small_or_shuffled(keys.select("doc_id").distinct(), 1_000_000)
-        found = _lines(join_same(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi"), levels, percent, whole=True)
-        return cut_lineage(
-            found.select("key", "tokens").join(small_or_shuffled(keys.select("key"), 1_000_000), "key", "left_semi")
-            .dropDuplicates(["key"])
-        )
-
-    settled = cut_lineage(_matched(pairs, sets_of(pairs), percent))
+    settled = cut_lineage(_matched(pairs, sets, percent))
 
     open_ones = shared.join(settled, F.col("at.key") == settled["key"], "left_anti")
     others = shared.withColumnRenamed("at", "to")
@@ -197,7 +217,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         .select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct()
         .join(pairs, ["x", "y"], "left_anti")
     )
-    gone = settled.union(_matched(rest, sets_of(rest), percent)).withColumn("gone", F.lit(True))
+    gone = settled.union(_matched(rest, sets, percent)).withColumn("gone", F.lit(True))
     return (
         lines.select("doc_id", "crc", "pos", "key").join(firsts, "key").join(gone, "key", "left")
         .where(F.col("gone").isNotNull() | ~F.col("place").eqNullSafe(place)).select("doc_id", "crc", "pos")
