@@ -116,10 +116,11 @@ def _lines(docs: DataFrame, levels: np.ndarray, percent: int, whole: bool) -> Da
 
 def _close(x: str, y: str, percent: int) -> Column:
     """Length and positional filters for lines that share the token at places ``i`` (from 0) of both."""
-    nx, ny, ix, iy = (F.col(f"{s}.{c}") for c in ("n", "i") for s in (x, y))
-    # At most min(i) tokens are common before this one, and the shorter rest from it on.
+    nx, ny, ix, iy, ax, ay = (F.col(f"{s}.{c}") for c in ("n", "i", "alone") for s in (x, y))
+    # Tokens of one line alone come first and are not common. So at most i - alone tokens are
+    # common before this one, and the shorter rest from it on.
     needed = F.ceil((nx + ny) * percent / (100 + percent))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ix, ny - iy) + F.least(ix, iy) >= needed)
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ix, ny - iy) + F.least(ix - ax, iy - ay) >= needed)
 
 
 def _of_two_lines(sent: DataFrame) -> DataFrame:
@@ -166,9 +167,9 @@ def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _first_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, n, i, token): the prefix of each line under the order by the number of lines that hold a token.
+    """(key, n, alone, i, token): the prefix of each line under the order by the number of lines that hold a token.
 
-    Tokens of one line come first in that order, and are only counted: they can give no pair.
+    Tokens of one line come first in that order, and are only counted (``alone``): they can give no pair.
     """
     tokens = sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
@@ -180,7 +181,7 @@ def _first_tokens(sets: DataFrame, percent: int) -> DataFrame:
     return (
         common.withColumns({"alone": alone, "left": left}).where("left > 0")
         .select("key", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("left"))).alias("at", "of"))
-        .select("key", "n", (F.col("alone") + F.col("at")).alias("i"), F.col("of.token").alias("token"))
+        .select("key", "n", "alone", (F.col("alone") + F.col("at")).alias("i"), F.col("of.token").alias("token"))
     )
 
 
@@ -202,7 +203,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
     shared = cut_lineage(
-        _first_tokens(sets, percent).join(firsts, "key").select("token", F.struct("place", "key", "n", "i").alias("at"))
+        _first_tokens(sets, percent).join(firsts, "key").select("token", F.struct("place", "key", "n", "i", "alone").alias("at"))
     )
     earliest = shared.groupBy("token").agg(F.min("at").alias("to"))
     near = _close("at", "to", percent)
