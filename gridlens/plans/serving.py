@@ -215,16 +215,24 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
         scaled = part.select("request_id", "step", SCALED).join(who, "request_id")
         # Each model and mode was trained with scalers of its own.
         parts.append(attach(scaled, tables.get("scalers", common["scalers"]), ["ClientID"], "left"))
-    rows = cut_lineage(reshape.union_splits(*parts))
     kw = F.round(clamp_nonneg(F.col(SCALED) * F.col("std") + F.col("mean")), 3)
+    rows = cut_lineage(reshape.union_splits(*parts).withColumn("kw", kw))
     ts = origin + F.expr(f"INTERVAL '{s.step}' SECOND") * F.col("step")
-    served = rows.select(
-        "request_id", "ClientID", "model", "mode", ts.alias("ts"), kw.alias("kw"),
-        F.lit(None).cast("string").alias("error"),
+    # A forecast with a gap is no forecast: its request gets one row that says so.
+    state = rows.groupBy("request_id").agg(F.bool_or(F.col("kw").isNull()).alias("_gap"))
+    judged = good.join(state, "request_id", "left").withColumn(
+        "error",
+        F.when(F.col("_gap"), F.lit("The model has no forecast for some of the asked hours."))
+        .when(F.col("_gap").isNotNull(), F.lit(None))
+        .when(F.col("model") == "nst", F.lit("No full week of readings before the origin, or no model for the cluster."))
+        .otherwise(F.lit("No readings one year before the origin.")),
     )
-    missing = good.join(scaled.select("request_id").distinct(), "request_id", "left_anti")
     failed = checked.filter(F.col("error").isNotNull()).unionByName(
-        missing.withColumn("error", F.lit("No readings one year before the origin."))
+        judged.filter(F.col("error").isNotNull()).drop("_gap")
+    )
+    served = rows.join(failed.select("request_id"), "request_id", "left_anti").select(
+        "request_id", "ClientID", "model", "mode", ts.alias("ts"), "kw",
+        F.lit(None).cast("string").alias("error"),
     )
     return served.unionByName(
         failed.select(

@@ -266,3 +266,31 @@ def test_nothing_after_the_cut_leaks_and_all_models_serve(spark, tmp_path):
         spark.createDataFrame([(1, T0, 4.0), (1, T0 + timedelta(minutes=15), 4.0)], "request_id int, ts timestamp_ntz, kw double"),
         ["request_id"]).first()
     assert summary["total_kwh"] == 2.0 and summary["peak_time"] == T0
+
+
+def test_each_mode_is_served_with_its_own_scalers_and_gaps_are_errors(spark, tmp_path):
+    path = str(tmp_path / "models")
+    clusters = spark.createDataFrame([("MT_001", 0), ("MT_002", 1)], "ClientID string, Cluster int")
+    coefs = spark.createDataFrame([(0, 1.0, [0.0])], "Cluster int, intercept double, coef array<double>")
+    names = spark.createDataFrame([(["Lag_24h_Scaled"],)], "names array<string>")
+    for mode, mean, std in (("day_ahead", 0.0, 1.0), ("long_term", 100.0, 10.0)):
+        scalers = spark.createDataFrame(
+            [("MT_001", mean, std), ("MT_002", mean, std)], "ClientID string, mean double, std double")
+        store.save_model({"coefs": coefs, "features": names, "scalers": scalers, "clusters": clusters}, path, "lr", mode)
+    features = spark.createDataFrame(
+        [(c, t, 1.0, 1.0, k) for c, k in (("MT_001", 0), ("MT_002", 1)) for t in hours(48)],
+        "ClientID string, Date timestamp_ntz, Consumption double, Lag_24h double, Cluster int")
+    requests = spark.createDataFrame(
+        [(1, "1", "lr", "day_ahead", 3), (2, "1", "lr", "long_term", 2), (3, "2", "lr", "day_ahead", 4),
+         (4, "1", "lr", "day_ahead", 0), (5, None, "lr", "day_ahead", 2)],
+        "request_id int, client_id string, model string, mode string, horizon_hours int")
+    origin = F.lit(T0 + timedelta(days=365)).cast("timestamp_ntz")
+    rows = serving.forecast_batch(requests, features, path, origin, s=Series(("ClientID",), "Date", 3600)).collect()
+    served = sorted((r["request_id"], r["kw"]) for r in rows if r["error"] is None)
+    assert served == [(1, 1.0)] * 3 + [(2, 110.0)] * 2
+    errors = {r["request_id"]: r["error"] for r in rows if r["error"] is not None}
+    assert len(rows) == len(served) + 3 and errors == {
+        3: "The model has no forecast for some of the asked hours.",
+        4: "The horizon must be positive.",
+        5: "ClientID 'none' not found.",
+    }
