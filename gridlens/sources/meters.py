@@ -37,35 +37,66 @@ def parse_comma_number(col: Column) -> Column:
     return F.regexp_replace(F.trim(col), ",", ".").try_cast("double")
 
 
-def read_meter_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A wide ``;`` file with decimal commas: ``Date`` and one double per client."""
+def _raw_cells(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """The text cells of a wide ``;`` file and, by column name, what they are read as."""
     raw = spark.read.option("header", True).option("sep", ";").csv(path)
     time = require_time_column(raw)
-    return raw.select(
-        parse_stamp(F.col(f"`{time}`")).alias("Date"),
-        *[parse_comma_number(F.col(f"`{c}`")).alias(c) for c in raw.columns if c != time],
-    )
+    cells = raw.withColumnRenamed(time, "Date") if time != "Date" else raw
+    readings = [c for c in cells.columns if c != "Date"]
+    return cells, {"Date": parse_stamp(F.col("Date"))} | {c: parse_comma_number(F.col(f"`{c}`")) for c in readings}
+
+
+def _unread(cell: Column, parsed: Column) -> Column:
+    return parsed.isNull() & (F.trim(cell) != "")
+
+
+def read_meter_csv(spark: SparkSession, path: str | list[str], bad: str = "raise") -> DataFrame:
+    """A wide ``;`` file with decimal commas: ``Date`` and one double per client.
+
+    A cell that holds something unreadable ends the job with its text. With ``bad="null"`` it
+    becomes NULL; ``unread_cells`` then says how many there are. Empty cells are NULL.
+    """
+    if bad not in ("raise", "null"):
+        raise ValueError(f"bad is 'raise' or 'null', not {bad!r}")
+    cells, parsed = _raw_cells(spark, path)
+
+    def checked(name: str, value: Column) -> Column:
+        cell = F.col(f"`{name}`")
+        told = F.raise_error(F.concat(F.lit(f"column {name} holds an unreadable cell: "), cell))
+        return F.when(_unread(cell, value), told).otherwise(value)
+
+    return cells.select(*[
+        (checked(name, value) if bad == "raise" else value).alias(name) for name, value in parsed.items()
+    ])
+
+
+def unread_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(column, cells) for columns of a wide ``;`` file: how many cells hold something unreadable."""
+    cells, parsed = _raw_cells(spark, path)
+    counts = cells.agg(*[F.count_if(_unread(F.col(f"`{c}`"), v)).alias(c) for c, v in parsed.items()])
+    return counts.unpivot([], [F.col(f"`{c}`") for c in parsed], "column", "cells")
+
+
+def _nulls_last(names: Sequence[str]) -> Column:
+    return F.struct(*[part for c in names for part in (F.col(c).isNull(), F.col(c))])
 
 
 def dedupe_timestamps(df: DataFrame, tie: Sequence[str], time: str = "Date") -> DataFrame:
-    """One row per stamp: the one with the smallest ``tie`` columns.
+    """One row per stamp: the one with the smallest ``tie`` columns, NULL after all values.
 
     An aggregate rather than a row number, so copies of one stamp are reduced before the
-    shuffle and never meet in one sort.
+    shuffle and never meet in one sort. Rows without a stamp are no copies: all of them stay.
     """
-    others = [c for c in df.columns if c != time]
-    picked = df.groupBy(time).agg(
-        F.min_by(F.struct(*others), F.struct(*tie)).alias("_row")
-    )
-    return picked.select(time, "_row.*").select(df.columns)
+    return dedupe_series(df, [], tie, time)
 
 
 def dedupe_series(df: DataFrame, keys: Sequence[str], tie: Sequence[str], time: str = "Date") -> DataFrame:
     """The same for long tables: one row per key and stamp."""
     group = [*keys, time]
     others = [c for c in df.columns if c not in group]
-    picked = df.groupBy(*group).agg(F.min_by(F.struct(*others), F.struct(*tie)).alias("_row"))
-    return picked.select(*group, "_row.*").select(df.columns)
+    dated = df.where(F.col(time).isNotNull())
+    picked = dated.groupBy(*group).agg(F.min_by(F.struct(*others), _nulls_last(tie)).alias("_row"))
+    return picked.select(*group, "_row.*").select(df.columns).union(df.where(F.col(time).isNull()))
 
 
 def write_features(

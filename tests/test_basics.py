@@ -33,6 +33,17 @@ def test_comma_csv_with_unnamed_time_column(spark, tmp_path):
     assert long.count() == 6 and set(long.columns) == {"Date", "ClientID", "Consumption"}
 
 
+def test_unreadable_cells_are_told_and_never_merged(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text("Date;MT_001\n2011-01-01;1.234,5\n01.02.2011 00:45;2\n01.02.2011 01:00;3\n2011-01-01;4\n2011-01-02;\n")
+    with pytest.raises(Exception, match="unreadable cell"):
+        meters.read_meter_csv(spark, str(path)).collect()
+    assert {tuple(r) for r in meters.unread_cells(spark, str(path)).collect()} == {("Date", 2), ("MT_001", 1)}
+    once = meters.dedupe_timestamps(meters.read_meter_csv(spark, str(path), bad="null"), ["MT_001"])
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(
+        [(T(2011, 1, 1), 4.0), (T(2011, 1, 2), None), (None, 2.0), (None, 3.0)], key=str)
+
+
 def test_missing_time_column_raises(spark):
     with pytest.raises(KeyError):
         meters.require_time_column(spark.createDataFrame([(1.0,)], ["MT_001"]))
