@@ -48,7 +48,7 @@ def profile_clusters(spark, d):
 
 @query("elbow_curve")
 def elbow_curve(spark, d):
-    return segment.elbow_curve(shapes(spark, d), starts=2).withColumn("inertia", r6("inertia"))
+    return segment.elbow_curve(shapes(spark, d)).withColumn("inertia", r6("inertia"))
 
 
 @query("cluster_shapes", using(fx.HOURLY_SQL, PROFILE_SQL, f"""
@@ -86,12 +86,12 @@ def jenks_breaks(spark, d):
 
 
 TIERS_SQL = JENKS_SQL + """,
-tiers AS (SELECT ClientID, x, CASE WHEN x <= break_1 + 1e-9 THEN 'Light' WHEN x <= break_2 + 1e-9 THEN 'Medium' ELSE 'Heavy' END AS Consumer_Category
+tiers AS (SELECT ClientID, x, CASE WHEN x <= break_1 THEN 'Light' WHEN x <= break_2 THEN 'Medium' ELSE 'Heavy' END AS Consumer_Category
           FROM means, breaks)"""
 
 
 def tiers(spark, d):
-    means = log_means(spark, d)
+    means = cut_lineage(log_means(spark, d))  # a break is one of these very values
     return segment.volume_segments(means, segment.jenks_breaks(means, "log_mean"))
 
 
@@ -102,12 +102,12 @@ def volume_tier(spark, d):
 
 
 @query("tier_histogram", using(fx.HOURLY_SQL, LOG_MEANS_SQL, TIERS_SQL, f"""
-SELECT Consumer_Category, CAST(least(floor((x - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin,
+SELECT Consumer_Category, CAST(least(floor((x - lo) / ((hi - lo) / 60)), 59) AS INTEGER) AS bin,
        {q6('100.0 * n / (SELECT count(*) FROM means)')} AS tier_percent, count(*) AS clients
 FROM tiers JOIN (SELECT Consumer_Category, min(x) AS lo, max(x) AS hi, count(*) AS n FROM tiers GROUP BY 1) USING (Consumer_Category)
 GROUP BY 1, 2, 3"""))
 def tier_histogram(spark, d):
-    return segment.tier_histogram(tiers(spark, d), 20).withColumn("tier_percent", r6("tier_percent"))
+    return segment.tier_histogram(tiers(spark, d)).withColumn("tier_percent", r6("tier_percent"))
 
 
 # ---- models -----------------------------------------------------------------------------
@@ -209,7 +209,7 @@ def process_data(spark, d):
     hours = weather.national_weather(fx.station_weather(spark, d), base=fx.BASE)
     return build.process_data(
         readings, hours, fx.stamp(fx.HOURLY_CUT), fx.HOURLY, fx.HOUR_LAGS, day=24, rolling=4,
-        baseline=240, baseline_least=24, starts=2)
+        baseline=240, baseline_least=24)
 
 
 # ---- evaluation and diagnostics ---------------------------------------------------------
@@ -285,9 +285,9 @@ def model_comparison(spark, d):
     return metrics.model_comparison(tables)
 
 
-# Seasonal means of whole-number loads often end exactly in half of the last place compared, where
-# the order of addition decides the rounding. Both sides are moved off that point.
-OFF_TIE = 3.1e-8
+# Seasonal means of whole-number loads often end exactly in half of the sixth place, where the order
+# of addition decides the rounding. Their halves end before the ninth place, so that one has no ties.
+SEASON_PLACES = 9
 
 
 @query("seasonal_decompose", using(fx.HOURLY_SQL, f"""
@@ -296,13 +296,14 @@ t AS (
   FROM hourly WINDOW w AS (PARTITION BY ClientID ORDER BY Date ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
 raw AS (SELECT ClientID, hour(Date) AS h, avg(Consumption - trend) AS r FROM t GROUP BY 1, 2),
 season AS (SELECT ClientID, h, r - avg(r) OVER (PARTITION BY ClientID) AS s FROM raw)
-SELECT t.ClientID, t.Date, {q6('t.trend')} AS trend, {q6(f's.s + {OFF_TIE}')} AS seasonal, {q6(f't.Consumption - s.s - t.trend + {OFF_TIE}')} AS resid
+SELECT t.ClientID, t.Date, {q6('t.trend')} AS trend, round(s.s, {SEASON_PLACES}) + 0.0 AS seasonal,
+       round(t.Consumption - s.s - t.trend, {SEASON_PLACES}) + 0.0 AS resid
 FROM t JOIN season s ON s.ClientID = t.ClientID AND s.h = hour(t.Date)"""))
 def seasonal_decompose(spark, d):
     meter = fx.hourly_meter(spark, d).drop("Cluster")
     out = diagnostics.seasonal_decompose(meter, fx.HOURLY, "Consumption", 24)
-    moved = [r6(F.col(c) + OFF_TIE).alias(c) for c in ("seasonal", "resid")]
-    return out.select("ClientID", "Date", r6("trend").alias("trend"), *moved)
+    season = [(F.round(c, SEASON_PLACES) + F.lit(0.0)).alias(c) for c in ("seasonal", "resid")]
+    return out.select("ClientID", "Date", r6("trend").alias("trend"), *season)
 
 
 @query("acf", using(fx.HOURLY_SQL, f"""

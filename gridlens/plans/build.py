@@ -22,7 +22,8 @@ def segments(train: DataFrame, k: int = 5, seed: int = 42, starts: int = 10) ->
     """One row per client: Cluster by day shape, tier by size, learnt from training rows only."""
     scaled = segment.row_minmax(reshape.hourly_profile_matrix(train))
     clusters = segment.profile_clusters(scaled, k, seed, starts)
-    means = segment.log_mean(client_mean(train))
+    # Written once: a break is one of these very values, and sums may differ in the last bit.
+    means = cut_lineage(segment.log_mean(client_mean(train)))
     tiers = segment.volume_segments(means, segment.jenks_breaks(means, "log_mean"))
     return clusters.join(tiers.select("ClientID", "Consumer_Category"), "ClientID")
 

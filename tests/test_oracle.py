@@ -7,8 +7,6 @@ from tests.oracle import check, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
-HEAVY = {"forecast_batch", "process_data", "seasonal_arx_forecast", "windowed_forecast", "additive_forecast",
-         "elbow_curve", "profile_clusters", "fit_and_score"}  # run by test_models on data with structure
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +14,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in HEAVY])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     assert check(spark, con, name, QUERIES, ORACLES, SF_DIR) is None
 
