@@ -1,15 +1,19 @@
 """Near copies among embeddings by product quantisation.
 
 A coarse quantiser deals the unit vectors to inverted lists; what is left after taking out the
-list's centre is coded in subspaces. Every vector looks into the lists nearest to it. There,
-table look-ups give its inner product with each coded member, and what the code lost bounds
-the error, so no pair that reaches the threshold is dropped by the codes. The rest is compared
-by the exact cosine in double precision.
+list's centre is coded in subspaces. Lists are compared where the border between their cells
+allows a pair at the threshold, so no pair is missed. There, table look-ups give the inner
+product with each coded member, and what the code lost bounds the error, so no pair that reaches
+the threshold is dropped by the codes. The rest is compared by the exact cosine in double precision.
+
+The bound: unit vectors of cosine t lie sqrt(2 - 2t) apart. Each is at least as far from the other
+as the two distances to the plane half way between the centres of their lists add up to.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +30,12 @@ from gridlens.session import cut_lineage
 SAMPLE_ROWS = 20_000
 LISTS_PER_VECTOR = 1 / 256
 MOST_LISTS = 4_096
-PROBES = 8
 SUBSPACES = 8
 CODES = 64
-BLOCK = 1_024
+#: Lists meet in blocks of about a fifth of all vectors, at most so many.
+BLOCK = 16_384
+#: Room for rounding in the bounds.
+SLACK = 1e-9
 OUTPUTS = ["n_links", "component_id", "kept"]
 
 
@@ -65,6 +71,7 @@ class Index:
     @classmethod
     def fit(cls, sample: np.ndarray, n_lists: int) -> Index:
         centres = k_means(sample, n_lists)
+        centres = centres[np.argsort(nearest(centres, k_means(centres, math.isqrt(len(centres))), 1)[:, 0], kind="stable")]
         rest = sample - centres[nearest(sample, centres, 1)[:, 0]]
         return cls(centres, [k_means(part, CODES) for part in np.array_split(rest, min(SUBSPACES, rest.shape[1]), axis=1)])
 
@@ -78,6 +85,18 @@ class Index:
         lost = rest - np.concatenate([w[c] for w, c in zip(self.words, codes)], axis=1)
         return np.stack(codes, axis=1), np.sqrt((lost**2).sum(1))
 
+    def gaps(self, in_list: int) -> np.ndarray:
+        """Distances of all centres from one."""
+        return np.sqrt(((self.centres - self.centres[in_list]) ** 2).sum(1))
+
+    def beyond(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """For rows and lists by how much the squared distance to the list's centre exceeds that to the own one.
+
+        Over twice the distance of the centres, this is the distance from the plane half way between them.
+        """
+        d = (self.centres**2).sum(1) - 2 * x @ self.centres.T
+        return d - d[np.arange(len(x)), home][:, None]
+
     def products(self, queries: np.ndarray, in_list: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of queries with coded members of one list, from a table for each subspace."""
         total = np.repeat((queries @ self.centres[in_list])[:, None], len(codes), axis=1)
@@ -94,6 +113,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def _usable(vectors: DataFrame) -> DataFrame:
     """vec_id and fp: a digest of the vector's numbers, null where it cannot link, with the vector."""
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    arrow = pa.float32() if kind == "float" else pa.float64()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, sizes, kept = [], [], []
@@ -107,65 +129,155 @@ def _usable(vectors: DataFrame) -> DataFrame:
                 sizes.append(len(x))
                 kept.append(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), list_array(kept, pa.float64())],
+                [batch.column("vec_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), list_array(kept, arrow)],
                 names=["vec_id", "fp", "dim", "vector"],
             )
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(
-        run, "vec_id long, fp long, dim int, vector array<double>"
+        run, f"vec_id long, fp long, dim int, vector array<{kind}>"
     )
 
 
-def _indexed(classes: DataFrame, index: Index, probes: int) -> DataFrame:
+def units(column: pa.ChunkedArray) -> np.ndarray:
+    return unit(np.stack(lists(column)).astype(np.float64))
+
+
+def _indexed(classes: DataFrame, index: Index) -> DataFrame:
+    """``classes`` with their list, code and what the code lost."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit(np.stack(lists(pa.chunked_array([batch.column("vector")])))) if batch.num_rows else None
-            if x is None:
+            if not batch.num_rows:
                 continue
-            looked = nearest(x, index.centres, probes)
-            codes, lost = index.code(x, looked[:, 0])
+            x = units(pa.chunked_array([batch.column("vector")]))
+            home = nearest(x, index.centres, 1)[:, 0]
+            codes, lost = index.code(x, home)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("fp"), batch.column("copies"), pa.array(looked[:, 0].astype(np.int32)),
-                 list_array(list(looked), pa.int32()), list_array(list(codes), pa.int32()), pa.array(lost),
-                 list_array(list(x), pa.float64())],
-                names=["fp", "copies", "home", "probes", "codes", "lost", "x"],
+                [batch.column("fp"), batch.column("copies"), pa.array(home.astype(np.int32)),
+                 pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(lost), batch.column("vector")],
+                names=["fp", "copies", "home", "codes", "lost", "vector"],
             )
 
+    kind = classes.schema["vector"].dataType.simpleString()
     return classes.select("fp", "copies", "vector").mapInArrow(
-        run, "fp long, copies long, home int, probes array<int>, codes array<int>, lost double, x array<double>"
+        run, f"fp long, copies long, home int, codes binary, lost double, vector {kind}"
     )
 
 
-def _compared(met: DataFrame, index: Index, threshold: float) -> DataFrame:
-    """(fp, root, links) of vectors with links, for each meeting of queries and members."""
+def blocks_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first block and its number of blocks: lists that follow each other share
+    a block of ``most`` vectors, and a larger list has blocks of its own."""
+    first, count, at, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), -1, 0
+    for i, size in enumerate(sizes):
+        if size > most:
+            count[i] = -(-size // most)
+            first[i] = at + 1
+            at, room = at + count[i], 0
+            continue
+        if at < 0 or size > room:
+            at, room = at + 1, most
+        first[i] = at
+        room -= size
+    return first, count
+
+
+def _dealt(coded: DataFrame, index: Index, sizes: np.ndarray, most: int, apart: float) -> DataFrame:
+    """``coded`` for each pair (i, j) of blocks in which a row may have a partner."""
+    first, count = blocks_of(sizes, most)
+    n_blocks = int((first + count).max())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1_024):
+                batch = whole.slice(start, 1_024)
+                home = batch.column("home").to_numpy()
+                own = first[home] + (batch.column("fp").to_numpy().view(np.uint64) % count[home].astype(np.uint64)).astype(np.int64)
+                x = units(pa.chunked_array([batch.column("vector")]))
+                beyond = index.beyond(x, home)
+                may = np.zeros((len(home), n_blocks), bool)
+                for a in np.unique(home):
+                    rows = np.flatnonzero(home == a)
+                    row, to = np.nonzero(beyond[rows] <= 2 * apart * index.gaps(a) + SLACK)
+                    for k in range(int(count[to].max())):
+                        some = count[to] > k
+                        may[rows[row[some]], first[to[some]] + k] = True
+                row, other = np.nonzero(may)
+                taken = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(own[row], other).astype(np.int32)), pa.array(np.maximum(own[row], other).astype(np.int32)),
+                     pa.array(own[row].astype(np.int32)), *taken.columns],
+                    names=["i", "j", "block", *batch.schema.names],
+                )
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema)
+    return coded.mapInArrow(run, f"i int, j int, block int, {fields}")
+
+
+def _close(x: np.ndarray, codes: np.ndarray, lost: np.ndarray, index: Index, in_list: int, q: np.ndarray, m: np.ndarray,
+           threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows q and members m of a list with a cosine of ``threshold`` or more."""
+    found = [(q[:0], m[:0])]
+    for start in range(0, len(q) if len(m) else 0, 1_024):
+        some = q[start:start + 1_024]
+        i, j = np.nonzero(index.products(x[some], in_list, codes[m]) + lost[m] >= threshold - SLACK)
+        i, j = some[i], m[j]
+        exact = np.empty(len(i))
+        for at in range(0, len(i), 65_536):
+            exact[at:at + 65_536] = np.einsum("ij,ij->i", x[i[at:at + 65_536]], x[j[at:at + 65_536]])
+        found.append((i[exact >= threshold], j[exact >= threshold]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _met(x: np.ndarray, home: np.ndarray, block: np.ndarray, codes: np.ndarray, lost: np.ndarray, index: Index,
+         threshold: float, apart: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked rows, each pair once, from one block or between two."""
+    low, high = block == block.min(), block == block.max()
+    beyond = index.beyond(x, home)
+    for a in np.unique(home[low]):
+        gaps = index.gaps(a)
+        left = np.flatnonzero(low & (home == a))
+        for b in np.unique(home[high]):
+            if b < a and (low == high).all():
+                continue
+            right = np.flatnonzero(high & (home == b))
+            if a == b:
+                i, j = _close(x, codes, lost, index, b, left, right, threshold)
+                # Within one block both orders of a pair and the row itself are found.
+                once = i < j if block[left[0]] == block[right[0]] else slice(None)
+                yield i[once], j[once]
+                continue
+            half = apart * gaps[b] + SLACK
+            s, t = beyond[left, b], beyond[right, a]
+            near = s <= half
+            if near.any():
+                yield _close(x, codes, lost, index, b, left[near], right[t <= 2 * half - s[near].min()], threshold)
+            if (t <= half).any():
+                far = left[~near & (s <= 2 * half - t.min())]
+                yield _close(x, codes, lost, index, b, far, right[t <= half], threshold)
+
+
+def _compared(met: DataFrame, index: Index, threshold: float, apart: float) -> DataFrame:
+    """(fp, root, links) of vectors with links, for each pair of blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["in_list", "qb", "mb"]):
-            member = group.column("member").to_numpy()
-            q, m = np.flatnonzero(~member), np.flatnonzero(member)
-            if not len(q) or not len(m):
+        for group in sorted_groups(batches, ["i", "j"]):
+            block = group.column("block").to_numpy()
+            if group.column("i")[0].as_py() != group.column("j")[0].as_py() and block.min() == block.max():
                 continue
             fp, copies = group.column("fp").to_numpy(), group.column("copies").to_numpy()
-            x, home = np.stack(lists(group.column("x"))), group.column("home").to_numpy()
-            probes = np.stack(lists(group.column("probes")))
-            codes = np.stack(lists(group.column("codes")))
-            lost = group.column("lost").to_numpy()
-            close = index.products(x[q], group.column("in_list")[0].as_py(), codes[m]) + lost[m] >= threshold - 1e-9
-            close &= fp[q][:, None] != fp[m][None, :]
-            i, j = np.nonzero(close)
-            exact = np.empty(len(i))
-            for at in range(0, len(i), 65_536):
-                exact[at:at + 65_536] = np.einsum("ij,ij->i", x[q[i[at:at + 65_536]]], x[m[j[at:at + 65_536]]])
-            i, j = q[i[exact >= threshold]], m[j[exact >= threshold]]
-            if not len(i):
+            codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint8).reshape(len(fp), -1)
+            pairs = list(_met(units(group.column("vector")), group.column("home").to_numpy(), block, codes,
+                              group.column("lost").to_numpy(), index, threshold, apart))
+            if not any(len(a) for a, _ in pairs):
                 continue
+            a, b = (np.concatenate(part) for part in zip(*pairs))
             links = np.zeros(len(fp), np.int64)
-            np.add.at(links, i, copies[j])
-            # The member counts the query here only if it does not look into the query's own list.
-            blind = ~(probes[j] == home[i][:, None]).any(axis=1)
-            np.add.at(links, j[blind], copies[i[blind]])
-            names, at = np.unique(fp, return_inverse=True)
-            label = np.arange(len(names))
-            a, b = at[i], at[j]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            # Labels by the order of fp, so that a root is the smallest fp of its part.
+            order = np.argsort(fp, kind="stable")
+            at = np.empty(len(fp), np.int64)
+            at[order] = np.arange(len(fp))
+            a, b = at[a], at[b]
+            label = np.arange(len(fp))
             while True:
                 new = label.copy()
                 np.minimum.at(new, a, label[b])
@@ -174,25 +286,24 @@ def _compared(met: DataFrame, index: Index, threshold: float) -> DataFrame:
                 if (new == label).all():
                     break
                 label = new
-            total = np.zeros(len(names), np.int64)
-            np.add.at(total, at, links)
             some = np.unique(np.concatenate([a, b]))
+            names = fp[order]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[some]), pa.array(names[label[some]]), pa.array(total[some])], names=["fp", "root", "links"]
+                [pa.array(names[some]), pa.array(names[label[some]]), pa.array(links[order[some]])], names=["fp", "root", "links"]
             )
 
     return (
-        met.repartition("in_list", "qb", "mb").sortWithinPartitions("in_list", "qb", "mb")
+        met.repartition("i", "j").sortWithinPartitions("i", "j")
         .mapInArrow(run, "fp long, root long, links long")
     )
 
 
-def link_embeddings(vectors: DataFrame, threshold: float = 0.9, probes: int = PROBES) -> DataFrame:
+def link_embeddings(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding).
 
     Two vectors link when the cosine is ``threshold`` or more. Rows with the same numbers are one
-    class, so copies are never paired. A pair is looked at when either vector looks into the
-    other's list; pairs that no list brings together are missed (recall is measured in the tests).
+    class, so copies are never paired. No pair is missed: two lists are compared unless the border
+    between their cells shows that they hold none.
 
     * Vectors that are null, empty or zero, or hold null or non-finite numbers, link with nothing;
       so do those of another length than the commonest one (of equally common ones the longest).
@@ -217,23 +328,14 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, probes: int = PR
     n_lists = int(min(MOST_LISTS, max(1, classes.count() * LISTS_PER_VECTOR)))
     index = Index.fit(unit(np.array([r["vector"] for r in sample], np.float64)), n_lists)
 
-    coded = cut_lineage(_indexed(classes, index, min(probes, len(index.centres))))
-    sizes = coded.groupBy(F.col("home").alias("in_list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks"))
-    looks = coded.select("*", F.explode("probes").alias("in_list"))
-    asked = looks.groupBy("in_list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
-    sizes = F.broadcast(sizes.join(asked, "in_list"))  # one row a list, MOST_LISTS at most
-    columns = ["in_list", "qb", "mb", "member", "fp", "copies", "home", "probes", "codes", "lost", "x"]
-
-    def dealt(df: DataFrame, member: bool) -> DataFrame:
-        own, other = ("mb", "qb") if member else ("qb", "mb")
-        own_n, other_n = ("m_blocks", "q_blocks") if member else ("q_blocks", "m_blocks")
-        return df.join(sizes, "in_list").select(
-            "*", F.lit(member).alias("member"), F.pmod(F.xxhash64("fp"), F.col(own_n)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other),
-        ).select(*columns)
-
-    met = dealt(looks, False).unionByName(dealt(coded.withColumn("in_list", F.col("home")), True))
-    found = cut_lineage(_compared(met, index, threshold))
+    # The rounding of a cosine that is taken for the threshold is a part of the distance.
+    apart = math.sqrt(max(0.0, 2 - 2 * threshold) + 1e-12)
+    coded = cut_lineage(_indexed(classes, index))
+    sizes = np.zeros(len(index.centres), np.int64)
+    for r in coded.groupBy("home").count().collect():  # one row a list, MOST_LISTS at most
+        sizes[r["home"]] = r["count"]
+    most = int(min(BLOCK, sizes.sum() // 5 + 1))
+    found = cut_lineage(_compared(_dealt(coded, index, sizes, most, apart), index, threshold, apart))
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")))
     by_class = cut_lineage(

@@ -26,6 +26,30 @@ def test_links_equal_brute_force(spark):
     assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_no_link_is_missed_with_many_lists(spark):
+    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(x) * embedding_dedup.LISTS_PER_VECTOR > 32
+    links = np.concatenate([(x[i:i + 2_048] @ x.T >= 0.9).sum(1) - 1 for i in range(0, len(x), 2_048)])
+    got = embedding_dedup.link_embeddings(df).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == links.tolist()
+
+
+def test_no_link_is_missed_at_the_borders_of_lists(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3_000, 8))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(1)[:, None] * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    rows = np.concatenate([base, 0.92 * base + np.sqrt(1 - 0.92**2) * aside])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    links = (rows @ rows.T >= 0.9).sum(1) - 1
+    got = embedding_dedup.link_embeddings(df).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == links.tolist()
+
+
 def test_article_is_all_that_is_left(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     right = 0
