@@ -22,10 +22,11 @@ ASSIGN = (
     r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
     r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 )
+SIGN = r"[\"']?\x20*[:=]\x20*[\"']?"
 VALUE = "[A-Za-z0-9+/_.=-]"
 #: Fixed patterns in the order of their kinds, and what a match must also be.
 KINDS = {
-    "assign": (rf"{ASSIGN}[\"']?\x20*[:=]\x20*[\"']?{VALUE}+", rf"{VALUE}{{6,}}$"),
+    "assign": (rf"{ASSIGN}{SIGN}{VALUE}+", rf"^{ASSIGN}{SIGN}{VALUE}{{6,}}$"),
     "access": ("AKIA[A-Z0-9]{16,}", None),
     "hex": ("(?<![0-9a-f])[0-9a-f]{24,}", None),
 }

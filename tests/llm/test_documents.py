@@ -152,6 +152,13 @@ def test_secrets_keep_fixed_spans(documents, odd_documents):
             assert [(s.start, s.end, s.kind) for s in r.spans if s.kind != "random"] == [(a, b, k) for a, _, b, k in sorted(found)]
 
 
+def test_short_values_are_no_secrets(spark):
+    texts = ["token=abc", "password=ab", "token==abcd", "secret='abcde'", "api_key:a=b=c", "token=abcdef", "token==abcde", "Passwd: 'a.b-c/d'"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_assign for r in secrets.find_secrets(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 0, 0, 0, 0, 1, 1, 1]
+
+
 def test_battery_tells_keys_from_names(spark):
     keys = ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "Xk3vQ9zLm2PqR8sTuV5wYbCdEf7GhJ1K"]
     names = ["this-is-a-long-name-of-some-file-2024", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyz0123456789"]
