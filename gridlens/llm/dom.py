@@ -155,15 +155,17 @@ def describe(nodes: list[Node], vocabulary: dict[str, int]) -> list[list[float]]
             up[k] += own[k]
     page = total[0][0] or 1
     before = [0] * len(nodes)  # characters of the page ahead of the element
+    places = [0] * len(nodes)  # of the element among its siblings
     rows = []
     for i, n in enumerate(nodes):
         chars, linked, marks, tags, blocks, paragraphs = total[i]
         up = nodes[n.parent] if i else n
         up_total = total[n.parent] if i else total[0]
         siblings = up.children if i else [0]
-        place = siblings.index(i) if len(siblings) < 64 else 0
+        place = places[i]
         ahead = before[i]
-        for c in n.children:
+        for k, c in enumerate(n.children):
+            places[c] = k
             before[c] = ahead
             ahead += total[c][0]
         row = [

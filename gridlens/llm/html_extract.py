@@ -100,7 +100,7 @@ def training_page(rng: np.random.Generator, texts: list[str]) -> str:
 
     a, b = _open(rng, MAIN, 1)
     pieces = [f"<h1>{text(2, 12)}</h1>"] if rng.random() < 0.8 else []
-    for _ in range(int(rng.choice([0, 0, 0, 1, 2, 4, 8, 16]))):
+    for _ in range(int(rng.choice([0, 0, 0, 1, 2, 4, 8, 16] * 3 + [96]))):
         pieces.append(paragraph())
         if rng.random() < 0.08:
             pieces.append(part(INSIDE[rng.integers(len(INSIDE))]))

@@ -3,7 +3,7 @@
 import numpy as np
 
 from gridlens.llm import embedding_dedup, html_extract, queries
-from gridlens.llm.dom import parse
+from gridlens.llm.dom import NUMBERS, describe, parse
 from tests.llm.conftest import SF
 
 
@@ -65,6 +65,15 @@ def test_article_is_all_that_is_left(spark):
     assert right >= 0.95 * len(rows)
 
 
+def test_sibling_features_of_long_lists():
+    nodes, _ = parse("<div>" + "".join(f"<p>{'x' * (i + 1)}</p>" for i in range(100)) + "</div>")
+    rows = [dict(zip(NUMBERS, r)) for r in describe(nodes, {})][2:]
+    page = sum(range(1, 101))
+    assert [r["place"] for r in rows] == [i / 100 for i in range(100)]
+    assert [r["previous_share"] for r in rows] == [i / page for i in range(100)]
+    assert [r["next_share"] for r in rows] == [(i + 2) / page if i < 99 else 0.0 for i in range(100)]
+
+
 def test_made_pages_and_odd_pages(spark):
     pages = spark.createDataFrame(
         [(1, "<p>a &amp; b</p>"), (2, None), (3, ""), (4, "plain text only"), (5, "<div><div><p>x"), (6, "</p></div>")],
