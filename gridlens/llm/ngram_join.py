@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridlens.llm.arrow import list_array, lists, sorted_groups
-from gridlens.llm.common import clear_of, small_or_shuffled
+from gridlens.llm.common import clear_of, join_same, small_or_shuffled
 from gridlens.llm.components import components
 from gridlens.llm.shingles import fingerprint, shingle_sets
 from gridlens.session import cut_lineage
@@ -290,7 +290,7 @@ def join_by_ngrams(docs: DataFrame, percent: int = 80) -> DataFrame:
         .join(prefixes, "fp").join(classes.select("fp", "copies", "first_id"), "fp")
     )
     ids = members.select(F.col("first_id").alias("doc_id")).distinct()
-    candidates = docs.select("doc_id", "text").join(small_or_shuffled(ids, 1_000_000), "doc_id", "left_semi")
+    candidates = join_same(docs.select("doc_id", "text"), small_or_shuffled(ids, 1_000_000), ["doc_id"], "left_semi")
     sets = _sets_of(candidates).dropDuplicates(["fp"])
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     met = (

@@ -125,6 +125,13 @@ def test_ngram_join_on_odd_rows(spark, odd_documents):
     assert ngram_join.join_by_ngrams(odd_documents.limit(0)).count() == 0
 
 
+def test_ngram_join_links_documents_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text), (None, text + " x"), (3, text + " y")], "doc_id long, text string")
+    for some, links, smallest in ((docs.where("doc_id is null"), 1, None), (docs, 2, 3)):
+        assert {(r.n_links, r.component_id) for r in ngram_join.join_by_ngrams(some).collect()} == {(links, smallest)}
+
+
 def test_line_dedup_is_exact(documents, odd_documents):
     for docs in (documents, odd_documents.where("doc_id is not null and doc_id <> 6")):
         seen, gone = [], defaultdict(list)
