@@ -7,10 +7,13 @@ import re
 from dataclasses import dataclass, field
 from math import log1p
 
+# Quotes are taken in pairs, never given back: a tag is read in one way and in one pass. The last form
+# reads a tag whose quotes do not pair up before its end.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:(</\1\s*>)|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -83,18 +86,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         del stack[upto:]
 
     at = 0
-    for m in _TAG.finditer(page):
+    end = page.rfind(">") + 1  # no tag ends behind this place
+    for m in _TAG.finditer(page, 0, end):
         if m.start() > at:
             piece = page[at:m.start()]
             held.append(piece)
             if links:
                 linked += len(piece)
         at = m.end()
-        name = m[3]
+        if at == end and (m[1] and not m[2] or m[0].startswith("<!--") and not m[0].endswith("-->")):
+            at = len(page)  # a comment or script that nothing closes
+        name = m[4] or m[7]
         if name is None:
             continue
-        name = name.lower()
-        if m[2]:
+        name, attributes = name.lower(), m[5] if m[4] else m[8]
+        if m[3] or m[6]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == name:
                     leave(depth)
@@ -107,7 +113,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             held.append(" ")
         if name in INLINE:
             nodes[stack[-1][1]].tags += 1
-            if name not in VOID and not m[4].endswith("/"):
+            if name not in VOID and not attributes.endswith("/"):
                 stack.append((name, stack[-1][1]))
                 links += name == "a"
             continue
@@ -120,7 +126,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 break
         flush()
         parent = stack[-1][1]
-        attributes = m[4]
         found: tuple[str, ...] = ()
         if attributes:
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
@@ -133,7 +138,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if name not in VOID and not attributes.endswith("/"):
             stack.append((name, len(nodes) - 1))
     if at < len(page):
-        held.append(page[at:])
+        held.append(page[at:].partition("<!--")[0])
     flush()
     return nodes, blocks
 

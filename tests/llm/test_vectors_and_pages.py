@@ -1,5 +1,7 @@
 """Embeddings against brute force, pages against what they were made of."""
 
+import time
+
 import numpy as np
 
 from gridlens.llm import embedding_dedup, html_extract, queries
@@ -27,9 +29,11 @@ def test_links_equal_brute_force(spark):
 
 
 def test_no_link_is_missed_with_many_lists(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
-    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()], np.float64)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(9_000, 16))
+    x[6_000:] = x[rng.integers(0, 6_000, 3_000)] + rng.normal(scale=0.35, size=(3_000, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert len(x) * embedding_dedup.LISTS_PER_VECTOR > 32
     links = np.concatenate([(x[i:i + 2_048] @ x.T >= 0.9).sum(1) - 1 for i in range(0, len(x), 2_048)])
     got = embedding_dedup.link_embeddings(df).orderBy("vec_id").collect()
@@ -83,3 +87,23 @@ def test_made_pages_and_odd_pages(spark):
     assert [r.text for r in html_extract.extract(pages, made).orderBy("page_id").collect()][1:3] == ["", ""]
     kept = html_extract.decode(parse("<div><p>a</p></div>")[0], np.array([0.0, -9.0, 9.0]))
     assert kept in ([True, False, False], [True, True, True])
+
+
+def test_cut_tags_are_read_in_one_pass():
+    attributes = " ".join(f'a{i}="v{i}" b{i}=\'w{i}\'' for i in range(200))
+    json = "{'a':\"b\"}" * 2_000
+    pages = [
+        f"<p>kept</p><div {attributes}", f'<p>kept</p><div {attributes} x="', f"<p>kept</p><div {attributes} x='>more",
+        f"<p>kept</p><div data-x={json}", "<p>kept</p>" + "<a " * 100_000, "<p>kept</p>" + '<a "' * 20_000 + ">",
+    ]
+    start = time.perf_counter()
+    for page in pages:
+        assert parse(page)[1][0][1] == "kept"
+    assert time.perf_counter() - start < 5
+
+
+def test_unclosed_parts_hold_no_text():
+    for page in ("<p>a</p><!-- b <i>c</i> d", "<p>a</p><!-- b", "<p>a</p><script>b", "<p>a</p><script>if (x > 1) b", "<p>a</p><style>"):
+        assert [t for _, t in parse(page)[1]] == ["a"]
+    assert [t for _, t in parse('<p title="x > y">a</p><p title="b>c</p>')[1]] == ["a", "c"]
+    assert [t for _, t in parse("<p>a</p><script>b</script>c")[1]] == ["a", "c"]
