@@ -9,111 +9,53 @@ with a failing pair are merged step by step.
 from __future__ import annotations
 
 import hashlib
-import json
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from gridlens.llm.common import clear_of
+from gridlens.llm.vocabulary import Cutter, Merger, Vocabulary, gather, in_chunks
 
-#: Fixed: the public pattern that cuts text before the merges of byte-level vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose tokens are remembered in a worker, and characters encoded at a time.
-CACHED_WORDS = 200_000
-CHARS_AT_ONCE = 1_000_000
+#: Words whose tokens are remembered in a worker.
+CACHED_WORDS = 400_000
 OUTPUTS = ["ids", "decoded"]
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that byte-level vocabularies write for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-class Vocabulary:
-    """What a tokenizer file holds, as plain tables that go to the executors once."""
-
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as file:
-            data = json.load(file)
-        letters = byte_letters()
-        self.ids = {bytes(letters[c] for c in token): i for token, i in data["model"]["vocab"].items()}
-        merges = (m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"])
-        as_bytes = ([bytes(letters[c] for c in part) for part in m] for m in merges)
-        #: (left id, right id) -> rank, left id, right id, id of the merged token
-        self.merges = {
-            (self.ids[a], self.ids[b]): (rank, self.ids[a], self.ids[b], self.ids[a + b])
-            for rank, (a, b) in enumerate(as_bytes)
-        }
-        self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-        self.json = json.dumps(data)
-        self.digest = hashlib.sha256(self.json.encode()).hexdigest()
-
-
 class Coder:
-    """Encodes and decodes texts in one worker."""
+    """Encodes and decodes texts in one worker.
+
+    Known words are numbered; the tokens of word w are ``flat[starts[w] : starts[w] + lengths[w]]``.
+    """
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, special: bool = True) -> None:
         self.v = vocabulary
-        self.pattern = regex.compile(PATTERN)
-        self.longest = max(map(len, vocabulary.ids), default=1)
-        self.bytes_of = {i: b for b, i in vocabulary.ids.items()}
-        self.bytes_of |= {i: s.encode() for s, i in vocabulary.special.items()}
+        self.cut, self.merge = Cutter(vocabulary, special), Merger(vocabulary)
+        #: The length of the longest token that starts with these one or two bytes.
+        self.reach: dict[bytes, int] = {}
+        for token in vocabulary.ids:
+            self.reach[token[:2]] = max(self.reach.get(token[:2], 0), len(token))
+        self.bytes_of = vocabulary.token_bytes()
         self.size = max(self.bytes_of, default=0) + 1
         self.known = np.empty(0, np.int64)  # sorted pair keys
         self.sound = np.empty(0, bool)
-        # Words seen lately, and those seen before the table was last full.
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.unsure = self._unsure()
-        self.special = (
-            regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")")
-            if vocabulary.special else None
-        )
-        self._library = None
-
-    @staticmethod
-    def _unsure() -> set[str]:
-        """Characters newer than this Python's Unicode tables but known to the pattern's: libraries
-        differ there, so texts that hold one are cut by the tokenizer library."""
-        every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-        return {c for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.category(c) == "Cn"}
-
-    def cut(self, text: str) -> list[str]:
-        if text.isascii() or self.unsure.isdisjoint(set(text)):
-            return self.pattern.findall(text)
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_str(self.v.json).pre_tokenizer
-        spans = [span for _, span in self._library.pre_tokenize_str(text)]
-        return [text[a:b] for a, b in spans]
-
-    def merge(self, word: bytes) -> list[int]:
-        """Merge step by step: always the pair of the lowest rank, the leftmost of equals."""
-        parts, known = [self.v.ids[word[i:i + 1]] for i in range(len(word))], self.v.merges.get
-        while best := min(filter(None, map(known, zip(parts, parts[1:]))), default=None):
-            _, a, b, token = best
-            out, held = [], None
-            for part in parts:
-                if held == a and part == b:
-                    out[-1], held = token, None
-                else:
-                    out.append(part)
-                    held = part
-            parts = out
-        return parts
+        every = [self.bytes_of.get(i, b"") for i in range(self.size)]
+        self.token_lengths = np.fromiter(map(len, every), np.int64, self.size)
+        self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
+        self.token_bytes = np.frombuffer(b"".join(every), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str | tuple[str], int] = {}
+        self.flat = np.empty(0, np.int32)
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def longest_match(self, word: bytes) -> list[int]:
-        ids, out, i, n = self.v.ids, [], 0, len(word)
+        ids, reach, out, i, n = self.v.ids, self.reach, [], 0, len(word)
         while i < n:
-            end = min(n, i + self.longest)
+            end = min(n, i + reach.get(word[i:i + 2], 1))
             while (token := ids.get(word[i:end])) is None:
                 end -= 1
             out.append(token)
@@ -133,57 +75,58 @@ class Coder:
             self.known, self.sound = merged[order], np.concatenate([self.sound, np.array(verdicts, bool)])[order]
         return self.sound[np.searchsorted(self.known, keys)]
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str | tuple[str]]) -> None:
         """Speculate on all new words, verify all their pairs at once, merge those that fail."""
         if not new:
             return
-        raw = [w.encode() for w in new]
+        words = [w for w in new if isinstance(w, str)]
+        raw = [w.encode() for w in words]
         guesses = [self.longest_match(w) for w in raw]
         lengths = np.fromiter(map(len, guesses), np.int64, len(guesses))
         flat = np.fromiter(chain.from_iterable(guesses), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(guesses)), lengths)
         right = np.append(flat[1:], 0)
-        last = np.append(owner[1:] != owner[:-1], True)
+        last = np.append(owner[1:] != owner[:-1], True)[:len(owner)]
         tested = ~last | (lengths[owner] == 1)
-        keys = np.where(last, flat * (self.size + 1) + self.size, flat * (self.size + 1) + right)[tested]
+        keys = np.where(last, flat * (self.size + 1) + self.size, flat * (self.size + 1) + right[:len(flat)])[tested]
         failing = np.zeros(len(guesses), bool)
         failing[owner[tested][~self.pairs_sound(keys)]] = True
         for i in np.flatnonzero(failing).tolist():
             guesses[i] = self.merge(raw[i])
-        self.words.update(zip(new, map(tuple, guesses)))
-
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        cuts = [
-            [(s, None) if k % 2 else (None, self.cut(s)) for k, s in enumerate(self.special.split(t))]
-            if self.special else [(None, self.cut(t))]
-            for t in texts
-        ]
-        needed = set()
-        for doc in cuts:
-            for _, words in doc:
-                if words:
-                    needed.update(words)
-        if len(self.words) > CACHED_WORDS:
-            self.words, self.older = {}, self.words
+        special = [w for w in new if isinstance(w, tuple)]
+        words += special
+        guesses += [[self.v.special[s]] for s, in special]
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        lengths = np.fromiter(map(len, guesses), np.int64, len(guesses))
+        flat = np.fromiter(chain.from_iterable(guesses), np.int32, int(lengths.sum()))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's ids end."""
+        cuts = list(map(self.cut, texts))
+        if len(self.number) > CACHED_WORDS:
+            self.forget()
         if len(self.known) > 20 * CACHED_WORDS:
             self.known, self.sound = np.empty(0, np.int64), np.empty(0, bool)
-        needed.difference_update(self.words)
-        self.words.update((w, self.older[w]) for w in needed.intersection(self.older))
-        self.learn([w for w in needed if w not in self.words])
-        out = []
-        for doc in cuts:
-            ids: list[int] = []
-            for special, words in doc:
-                if special is not None:
-                    ids.append(self.v.special[special])
-                else:
-                    ids.extend(chain.from_iterable(map(self.words.__getitem__, words)))
-            out.append(ids)
-        return out
+        self.learn(list(set(chain.from_iterable(cuts)).difference(self.number)))
+        per_text = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        numbers = map(self.number.__getitem__, chain.from_iterable(cuts))
+        places = np.fromiter(numbers, np.int64, int(per_text.sum()))
+        lengths = self.lengths[places]
+        ends = np.append(0, np.cumsum(lengths))[np.cumsum(per_text)]
+        return gather(self.flat, self.starts[places], lengths), ends
 
-    def decode(self, ids: list[int]) -> bytes:
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        ids, ends = self.encode_flat(texts)
+        return [part.tolist() for part in np.split(ids, ends[:-1])]
+
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """UTF-8 of the decoded text; bytes that are no UTF-8 become the replacement character."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").encode()
+        ids = np.asarray(ids, np.int64)
+        raw = gather(self.token_bytes, self.token_starts[ids], self.token_lengths[ids]).tobytes()
+        return raw.decode("utf-8", "replace").encode()
 
 
 #: One coder for each vocabulary lives on in a worker, so that its tables stay warm between tasks.
@@ -197,18 +140,6 @@ def coder_for(vocabulary: Vocabulary) -> Coder:
     return _CODERS[vocabulary.digest]
 
 
-def _in_chunks(texts: list[str]) -> Iterator[list[str]]:
-    chunk, held = [], 0
-    for t in texts:
-        chunk.append(t)
-        held += len(t)
-        if held >= CHARS_AT_ONCE:
-            yield chunk
-            chunk, held = [], 0
-    if chunk:
-        yield chunk
-
-
 def coded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """All rows of ``docs`` without ``text``, with n_tokens and either the results or digests of them.
 
@@ -230,15 +161,16 @@ def coded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found: dict[str, list] = {name: [] for name in results}
-            for chunk in _in_chunks(texts):
-                for ids in coder.encode_many(chunk):
+            for chunk in in_chunks(texts):
+                flat, ends = coder.encode_flat(chunk)
+                for ids in np.split(flat, ends[:-1]):
                     decoded = coder.decode(ids)
                     found["n_tokens"].append(len(ids))
                     if digests:
-                        found["ids_sha256"].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                        found["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                         found["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                     else:
-                        found["ids"].append(ids)
+                        found["ids"].append(ids.tolist())
                         found["decoded"].append(decoded.decode())
             columns = [batch.column(c) for c in others]
             columns += [pa.array(found[n], kinds.get(n, pa.string())) for n in results]
