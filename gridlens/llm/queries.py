@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlens.llm import bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, quality_rules, secrets, sharding, token_counts
+from gridlens.llm import alignment, bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, quality_rules, secrets, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,10 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages.select("page_id", "url", "html"), html_extract.train(pages))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path()).select("doc_id", *token_counts.OUTPUTS)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return aligned.documents.select("doc_id", *alignment.OUTPUTS)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
@@ -98,5 +104,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
     "op11_token_counts": op11_token_counts,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {}
