@@ -45,3 +45,17 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     values = np.concatenate(parts) if parts else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """Slices of batches, sorted by integer key columns, that share a key; a key may come in several."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlens.llm import alignment, bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, quality_rules, secrets, sharding, token_counts
+from gridlens.llm import alignment, bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, prefix_trie, quality_rules, secrets, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.documents.select("doc_id", *alignment.OUTPUTS)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
@@ -105,5 +109,6 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_token_counts": op11_token_counts,
     "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_trie": op13_conversation_trie,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_conversation_trie": prefix_trie.SQL}
