@@ -256,6 +256,8 @@ def _totals(nodes: DataFrame, queued: int) -> DataFrame:
     nodes.write.partitionBy("top").parquet(path)
     stored = spark.read.schema(nodes.schema).parquet(path)
     levels = {r["top"]: r["deepest"] for r in nodes.groupBy("top").agg(F.max("depth").alias("deepest")).collect()}
+    if not levels:
+        return nodes.withColumns({n: F.lit(0).cast("long") for n in ("n_children", "n_leaves", "saved_tokens")})
     sums = {"in_children": "n", "in_leaves": "leaves", "in_saved": "saved"}
     done: list[DataFrame] = []
     sent: dict[int, DataFrame] = {}  # by the depth of the parents that messages go to
