@@ -3,15 +3,17 @@
 Both token sequences of a text cover the same bytes, so each is its array of end offsets. Where token
 i of A and token j of B start at the same byte, the arrays are compared at the index shift j - i with
 probes that double in length: a probe that agrees jumps a whole stretch of one-to-one tokens, one that
-does not is halved down to the first difference. There the two ends are stepped until they meet; that
-irregular group sets the next shift.
+does not gives the first difference. There the two ends are stepped until they meet; that irregular
+group sets the next shift. Many places of the texts, where both end a token, go on side by side.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,57 +29,74 @@ OUTPUTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 BROADCAST_PAIRS = 1_000_000
 
 
-def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many tokens from i and j on end at the same bytes, one to one."""
-    run, step = 0, 1
-    while True:
-        part = a[i + run:i + run + step]
-        if not part or part != b[j + run:j + run + step]:
-            break
-        run += len(part)
-        step *= 2
-    while step > 1:
-        step //= 2
-        part = a[i + run:i + run + step]
-        if part and part == b[j + run:j + run + step]:
-            run += len(part)
-    return run
-
+#: Tokens of A after which a place is sought at which a further walk can start.
+LANE = 64
+FIRST_PROBE = 4
 
-#: First token of A, the one behind the last, the same of B, and whether its tokens pair one to one.
-Part = tuple[int, int, int, int, bool]
 
+def stretches(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each walk, how many tokens from i and j on, before ``stop``, end at the same bytes one to one."""
+    run, open_, step = np.zeros(len(i), np.int64), np.arange(len(i)), FIRST_PROBE
+    while len(open_):
+        k = np.arange(step)
+        at_a, at_b = i[open_] + run[open_], j[open_] + run[open_]
+        same = a[np.minimum(at_a[:, None] + k, len(a) - 1)] == b[np.minimum(at_b[:, None] + k, len(b) - 1)]
+        same &= k < (stop[open_] - at_a)[:, None]
+        agreed = same.all(axis=1)
+        run[open_] += np.where(agreed, step, same.argmin(axis=1))
+        open_, step = open_[agreed], 2 * step
+    return run
 
-def align_ends(a: list[int], b: list[int]) -> tuple[list[Part], list[int], list[int]]:
-    """One-to-one stretches and irregular groups, and the indices of all linked tokens.
 
-    ``a`` and ``b`` are increasing ends with the same last one.
-    """
-    parts: list[Part] = []
-    left: list[int] = []
-    right: list[int] = []
-    i = j = 0
-    while i < len(a):
-        if n := stretch(a, b, i, j):
-            parts.append((i, i + n, j, j + n, True))
-            left.extend(range(i, i + n))
-            right.extend(range(j, j + n))
-            i += n
-            j += n
-            continue
-        p, q = i, j
-        while True:
-            left.append(p)
-            right.append(q)
-            if a[p] < b[q]:
-                p += 1
-            elif b[q] < a[p]:
-                q += 1
-            else:
-                break
-        parts.append((i, p + 1, j, q + 1, False))
+@dataclass
+class Aligned:
+    """Groups in order (first token and number of tokens of A and of B), and the indices of linked tokens."""
+
+    first_a: np.ndarray
+    size_a: np.ndarray
+    first_b: np.ndarray
+    size_b: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def align_ends(a: np.ndarray, b: np.ndarray) -> Aligned:
+    """Align two increasing arrays of ends with the same last one."""
+    none = np.empty(0, np.int64)
+    if not len(a):
+        return Aligned(none, none, none, none, none, none)
+    marks = np.arange(LANE - 1, len(a) - 1, LANE)
+    place = np.searchsorted(b, a[marks])
+    common = b[place] == a[marks]
+    i, j = np.append(0, marks[common] + 1), np.append(0, place[common] + 1)
+    stop = np.append(i[1:], len(a))
+    even, odd, left, right = [], [], [], []
+    while len(i):
+        run = stretches(a, b, i, j, stop)
+        even.append((i, run, j))
+        i, j = i + run, j + run
+        i, j, stop = i[i < stop], j[i < stop], stop[i < stop]
+        p, q, apart = i.copy(), j.copy(), np.arange(len(i))
+        while len(apart):
+            left.append(p[apart])
+            right.append(q[apart])
+            x, y = a[left[-1]], b[right[-1]]
+            p[apart[x < y]] += 1
+            q[apart[y < x]] += 1
+            apart = apart[x != y]
+        odd.append((i, p + 1 - i, j, q + 1 - j))
         i, j = p + 1, q + 1
-    return parts, left, right
+        i, j, stop = i[i < stop], j[i < stop], stop[i < stop]
+    first, run, other = (np.concatenate(c) for c in zip(*even))
+    within = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+    first, other = np.repeat(first, run) + within, np.repeat(other, run) + within
+    odd_a, size_a, odd_b, size_b = (np.concatenate(c) for c in zip(*odd))
+    order = np.argsort(np.concatenate([first, odd_a]), kind="stable")
+    ones = np.ones(len(first), np.int64)
+    groups = ((first, odd_a), (ones, size_a), (other, odd_b), (ones, size_b))
+    return Aligned(
+        *(np.concatenate(c)[order] for c in groups), np.concatenate([first, *left]), np.concatenate([other, *right])
+    )
 
 
 class Pieces:
@@ -98,53 +117,83 @@ class Pieces:
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's ids end."""
         ids = self.model.encode(texts, num_threads=1)
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        flat = np.concatenate([np.array(x, np.int64) for x in ids]) if ids else np.empty(0, np.int64)
-        return flat, ends
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(ends[-1]) if len(ends) else 0), ends
+
+
+class WordCoder(Coder):
+    """Encodes new words by the tokenizer library; known ones are looked up."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__(vocabulary, special=False)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(vocabulary.json)
+        self.library.encode_special_tokens = True
+
+    def guess(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
 
 
 class Aligner:
     """Encodes texts both ways and aligns them, in one worker."""
 
     def __init__(self, vocabulary: Vocabulary, model: bytes) -> None:
-        self.a, self.b = Coder(vocabulary, special=False), Pieces(model)
-        self.names = list(map(str, range(max(self.a.size, self.b.size))))
-
-    def groups_of(self, parts: list[Part], a: list[int], b: list[int]) -> tuple[int, str]:
-        """The number of groups, and all of them written as ``a1,a2|b1;a3|b2,b3``."""
-        x, y = list(map(self.names.__getitem__, a)), list(map(self.names.__getitem__, b))
-        out: list[str] = []
-        for i, p, j, q, one_to_one in parts:
-            if one_to_one:
-                out.extend(map("|".join, zip(x[i:p], y[j:q])))
-            else:
-                out.append(",".join(x[i:p]) + "|" + ",".join(y[j:q]))
-        return len(out), ";".join(out)
+        self.a, self.b = WordCoder(vocabulary), Pieces(model)
+        self.size = max(self.a.size, self.b.size)
+        #: An id followed by a comma, a bar, a semicolon or nothing.
+        self.written = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.size)]
 
     def align_many(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """For each text: tokens of A, of B, groups, the groups written, and a key for each link."""
         spaced = [" " + t for t in texts]
-        flat_a, till_a = self.a.encode_flat(spaced)
-        flat_b, till_b = self.b.encode_flat(texts)
-        lengths_a, lengths_b = self.a.token_lengths[flat_a], self.b.lengths[flat_b]
+        flat_a, ends_a = self.a.encode_flat(spaced)
+        flat_b, ends_b = self.b.encode_flat(texts)
+        bytes_a = self.a.token_lengths[flat_a]
+        bytes_b = self.b.lengths[flat_b]
+        raw_a = gather(self.a.token_bytes, self.a.token_starts[flat_a], bytes_a)
+        raw_b = gather(self.b.bytes, self.b.starts[flat_b], bytes_b)
+        # Texts whose tokens stand for other bytes, and empty ones, take no part.
+        till_a, till_b = (np.append(0, np.cumsum(x))[e] for x, e in ((bytes_a, ends_a), (bytes_b, ends_b)))
+        kept = np.zeros(len(texts), bool)
         from_a = from_b = 0
-        for text, to_a, to_b in zip(spaced, till_a.tolist(), till_b.tolist()):
-            a, b = flat_a[from_a:to_a], flat_b[from_b:to_b]
+        for n, (text, to_a, to_b) in enumerate(zip(spaced, till_a.tolist(), till_b.tolist())):
             raw = text.encode()
-            same = (
-                len(raw) > 1
-                and gather(self.a.token_bytes, self.a.token_starts[a], lengths_a[from_a:to_a]).tobytes() == raw
-                and gather(self.b.bytes, self.b.starts[b], lengths_b[from_b:to_b]).tobytes() == raw
-            )
-            if same:
-                ends_a, ends_b = np.cumsum(lengths_a[from_a:to_a]), np.cumsum(lengths_b[from_b:to_b])
-                parts, left, right = align_ends(ends_a.tolist(), ends_b.tolist())
-                n_groups, written = self.groups_of(parts, a.tolist(), b.tolist())
-                yield len(a), len(b), n_groups, written, a[left].astype(np.int64) * self.b.size + b[right]
-            else:
-                yield 0, 0, 0, "", np.empty(0, np.int64)
+            kept[n] = len(raw) > 1 and raw == raw_a[from_a:to_a].tobytes() == raw_b[from_b:to_b].tobytes()
             from_a, from_b = to_a, to_b
+        sizes_a, sizes_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        in_a, in_b = np.repeat(kept, sizes_a), np.repeat(kept, sizes_b)
+        a, b = flat_a[in_a].astype(np.int64), flat_b[in_b]
+        # Ends count on from text to text, so that all are aligned at once: a text's end is common.
+        found = align_ends(np.cumsum(bytes_a[in_a]), np.cumsum(bytes_b[in_b]))
+        links = a[found.left] * self.b.size + b[found.right]
+        order = np.argsort(found.left, kind="stable")
+        links, left = links[order], found.left[order]
+
+        counts_a, counts_b = np.where(kept, sizes_a, 0), np.where(kept, sizes_b, 0)
+        until_a, until_b = np.cumsum(counts_a), np.cumsum(counts_b)
+        until_group = np.searchsorted(found.first_a, until_a)
+        until_link = np.searchsorted(left, until_a)
+        written = self._written(a, b, found, until_group).tolist()
+        done = (0, 0, 0, 0)
+        for to in zip(until_a.tolist(), until_b.tolist(), until_group.tolist(), until_link.tolist()):
+            text = "".join(map(self.written.__getitem__, written[done[0] + done[1]:to[0] + to[1]]))
+            yield to[0] - done[0], to[1] - done[1], to[2] - done[2], text, links[done[3]:to[3]]
+            done = to
+
+    def _written(self, a: np.ndarray, b: np.ndarray, found: Aligned, until_group: np.ndarray) -> np.ndarray:
+        """All tokens in the order in which groups are written, as places in ``written``."""
+        out = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = found.first_a + found.size_a - 1, found.first_b + found.size_b - 1
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[last_a], mark_b[last_b] = 1, 2
+        mark_b[last_b[until_group[until_group > 0] - 1]] = 3
+        out[np.arange(len(a)) + np.repeat(found.first_b, found.size_a)] = a + self.size * mark_a
+        out[np.arange(len(b)) + np.repeat(last_a + 1, found.size_b)] = b + self.size * mark_b
+        return out
 
 
 #: The aligner of the last pair of files lives on in a worker.

@@ -75,11 +75,8 @@ class Coder:
             self.known, self.sound = merged[order], np.concatenate([self.sound, np.array(verdicts, bool)])[order]
         return self.sound[np.searchsorted(self.known, keys)]
 
-    def learn(self, new: list[str | tuple[str]]) -> None:
-        """Speculate on all new words, verify all their pairs at once, merge those that fail."""
-        if not new:
-            return
-        words = [w for w in new if isinstance(w, str)]
+    def guess(self, words: list[str]) -> list[list[int]]:
+        """Speculate on all words, verify all their pairs at once, merge those that fail."""
         raw = [w.encode() for w in words]
         guesses = [self.longest_match(w) for w in raw]
         lengths = np.fromiter(map(len, guesses), np.int64, len(guesses))
@@ -93,6 +90,14 @@ class Coder:
         failing[owner[tested][~self.pairs_sound(keys)]] = True
         for i in np.flatnonzero(failing).tolist():
             guesses[i] = self.merge(raw[i])
+        return guesses
+
+    def learn(self, new: list[str | tuple[str]]) -> None:
+        """Number new words and append their tokens."""
+        if not new:
+            return
+        words = [w for w in new if isinstance(w, str)]
+        guesses = self.guess(words)
         special = [w for w in new if isinstance(w, tuple)]
         words += special
         guesses += [[self.v.special[s]] for s, in special]

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, strategies as st
@@ -149,18 +150,19 @@ def test_alignment_of_no_rows(spark):
     assert nothing.documents.count() == 0 and nothing.pairs.count() == 0
 
 
-@given(st.lists(st.integers(1, 40), max_size=30), st.lists(st.integers(1, 40), max_size=30))
+@given(st.lists(st.integers(1, 400), max_size=300), st.lists(st.integers(1, 400), max_size=300))
 def test_skipping_runs_equals_common_ends(a, b):
     last = max([0, *a, *b]) + 1
     a, b = sorted({*a, last}), sorted({*b, last})
-    parts, left, right = alignment.align_ends(a, b)
-    found = [a[k] for i, p, _, _, single in parts for k in (range(i, p) if single else [p - 1])]
-    assert found == sorted(set(a) & set(b))
+    found = alignment.align_ends(np.array(a), np.array(b))
+    cuts = sorted(set(a) & set(b))
+    assert [a[i] for i in found.first_a + found.size_a - 1] == [b[j] for j in found.first_b + found.size_b - 1] == cuts
+    assert found.size_a.sum() == len(a) and found.size_b.sum() == len(b)
     overlaps = [
         (i, j) for i in range(len(a)) for j in range(len(b))
         if max(a[i - 1] if i else 0, b[j - 1] if j else 0) < min(a[i], b[j])
     ]
-    assert list(zip(left, right)) == overlaps
+    assert sorted(zip(found.left.tolist(), found.right.tolist())) == overlaps
 
 
 def test_op12_reads_all_documents(spark):
