@@ -9,7 +9,7 @@ from gridlens.catalog.basics import LAG7_FIT_SQL, lag7_fit
 from gridlens.catalog.registry import q6, query, r6, using
 from gridlens.catalog.series import MAPE_SQL, SCALER_SQL, WMAPE_SQL, daily_scaler
 from gridlens.functions import dates
-from gridlens.models import ols, store
+from gridlens.models import additive, lagged, ols, store
 from gridlens.operators import (
     clean, diagnostics, features, merge, metrics, reshape, scale, segment, weather, windows,
 )
@@ -175,6 +175,66 @@ def windowed_forecast(spark, d):
     return scored_by(spark, d, "nst", "day_ahead")
 
 
+WINDOW_PLACES, WINDOW_CHANNELS = 6, ["Consumption", "Hour"]
+
+
+@query("window_products", using(fx.TYPES_SQL, f"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY Cluster ORDER BY Date) - 1 AS n, count(*) OVER (PARTITION BY Cluster) AS rows FROM types),
+held AS (SELECT *, n >= rows - greatest(CAST(floor(rows * 0.1) AS BIGINT), 193) AS late FROM numbered),
+long AS (SELECT Cluster, n, late, 'Consumption' AS channel, Consumption AS v FROM held
+         UNION ALL SELECT Cluster, n, late, 'Hour', CAST(hour(Date) + 1 AS DOUBLE) FROM held),
+windows AS (
+  SELECT a.Cluster, a.n AS start, CASE WHEN a.late THEN 'held' WHEN b.late THEN 'mixed' ELSE 'train' END AS part
+  FROM held a JOIN held b ON b.Cluster = a.Cluster AND b.n = a.n + {WINDOW_PLACES - 1}),
+placed AS (SELECT w.Cluster, w.part, w.start, l.channel, CAST(l.n - w.start AS INTEGER) AS place, l.v
+           FROM windows w JOIN long l ON l.Cluster = w.Cluster AND l.n BETWEEN w.start AND w.start + {WINDOW_PLACES - 1})
+SELECT a.Cluster, a.part, a.channel AS channel_i, a.place AS place_i, b.channel AS channel_j, b.place AS place_j,
+       count(*) AS windows, {q6('sum(a.v * b.v)')} AS total
+FROM placed a JOIN placed b ON b.Cluster = a.Cluster AND b.start = a.start GROUP BY ALL"""))
+def window_products(spark, d):
+    """Products of all places of two-channel windows, before, across and within the held-out rows."""
+    rows = fx.type_series(spark, d).withColumn("Hour", dates.hour_of_day("Date"))
+    ready = windows.tail_validation(rows, fx.TYPES)
+    sums = lagged.add_up(
+        lagged.window_sums(ready, fx.TYPES, WINDOW_CHANNELS, WINDOW_PLACES, "is_validation"), ["Cluster"])
+    out = lagged.products_table(sums, ["Cluster"], WINDOW_CHANNELS, WINDOW_PLACES)
+    return out.withColumn("total", r6("total"))
+
+
+@query("additive_optimality", using(fx.TYPES_SQL, "SELECT DISTINCT Cluster, true AS optimal FROM types"))
+def additive_optimality(spark, d):
+    """Does the additive fit of every cluster meet the conditions of a minimum, bends included?"""
+    rows = cut_lineage(fx.type_series(spark, d).withColumn("y", F.col("Consumption") / 10_000).drop("Consumption"))
+    design = additive.design_for(rows, [])
+    coefs = cut_lineage(additive.fit(rows, design, "y"))
+    return additive.optimality(rows, design, coefs, "y").select("Cluster", "optimal")
+
+
+@query("run_pipelines", using(fx.HOURLY_SQL, fx.WEATHER_SQL, f"""
+test AS (SELECT ClientID, Cluster, Date, CAST(epoch(Date) - epoch(TIMESTAMP '{fx.HOURLY_CUT}') AS BIGINT) // 3600 AS o
+         FROM hourly WHERE Date >= TIMESTAMP '{fx.HOURLY_CUT}'),
+seen AS (SELECT t.o, w.Date IS NOT NULL AS now, y.Date IS NOT NULL AS before
+         FROM (SELECT DISTINCT o, Date FROM test) t LEFT JOIN weather w ON w.Date = t.Date
+         LEFT JOIN weather y ON y.Date = t.Date - INTERVAL 24 HOUR),
+first AS (SELECT greatest((SELECT min(o) FROM seen WHERE now), (SELECT min(o) FROM seen WHERE before)) AS f, (SELECT max(o) FROM seen) AS m),
+counted AS (
+  SELECT Cluster, count(*) AS n_rows, count(*) FILTER (now AND before) AS direct,
+         count(*) FILTER (o // 24 * 24 + 23 <= m AND (f = 0 OR o // 24 = 0 OR o // 24 * 24 - 168 >= f)) AS windowed
+  FROM test JOIN seen USING (o), first GROUP BY 1)
+SELECT model, Cluster, n_rows, CASE model WHEN 'sarimax' THEN n_rows WHEN 'nst' THEN windowed ELSE direct END AS n_forecasts
+FROM counted, (SELECT unnest(['lr', 'prophet', 'sarimax', 'nst']) AS model)"""))
+def run_pipelines(spark, d):
+    """All four models from the stored features to saved tables; how many hours each could forecast."""
+    stored, saved = shared_dir(spark), shared_dir(spark)
+    fx.hourly_features(spark, d).write.parquet(stored)
+    parts = []
+    for model, mode in (("lr", "day_ahead"), ("prophet", "long_term"), ("sarimax", "day_ahead"), ("nst", "day_ahead")):
+        tables = study.run_pipeline(
+            spark, stored, model, mode, fx.stamp(fx.HOURLY_CUT), saved, shared_dir(spark), fx.HOURLY, fx.HOUR)
+        parts.append(tables["coverage"].withColumn("model", F.lit(model)))
+    return reshape.union_splits(*parts).select("model", "Cluster", "n_rows", "n_forecasts")
+
+
 @query("rolling_origin", using(fx.TYPES_SQL, f"""
 placed AS (SELECT *, CAST(epoch(Date) - epoch(TIMESTAMP '{fx.HOURLY_CUT}') AS BIGINT) // 3600 AS o FROM types),
 last AS (SELECT Cluster, max(o) AS m FROM placed GROUP BY 1)
@@ -318,7 +378,24 @@ def acf(spark, d):
     return out.withColumn("acf", r6("acf"))
 
 
-@query("pacf")
+@query("pacf", using(fx.TYPES_SQL, f"""
+x AS (SELECT Cluster, row_number() OVER (PARTITION BY Cluster ORDER BY Date) AS i,
+             Consumption - avg(Consumption) OVER (PARTITION BY Cluster) AS v FROM types),
+k AS (SELECT unnest(range(0, 49)) AS lag),
+v0 AS (SELECT Cluster, sum(v * v) AS t FROM x GROUP BY 1),
+correlations AS (
+  SELECT a.Cluster, k.lag, sum(a.v * b.v) / any_value(v0.t) AS acf
+  FROM x a CROSS JOIN k JOIN x b ON b.Cluster = a.Cluster AND b.i = a.i + k.lag JOIN v0 ON v0.Cluster = a.Cluster GROUP BY 1, 2),
+r AS (SELECT Cluster, list(acf ORDER BY lag) AS r FROM correlations GROUP BY 1),
+steps AS (
+  WITH RECURSIVE s(Cluster, lag, phi, error, last) AS (
+    SELECT Cluster, 0, []::DOUBLE[], 1.0::DOUBLE, 1.0::DOUBLE FROM r
+    UNION ALL
+    SELECT Cluster, lag + 1, list_append(list_transform(phi, lambda p, i: p - l * phi[len(phi) - i + 1]), l), error * (1 - l * l), l
+    FROM (SELECT s.*, (r.r[lag + 2] - coalesce(list_sum(list_transform(phi, lambda p, i: p * r.r[lag + 2 - i])), 0.0)) / error AS l
+          FROM s JOIN r USING (Cluster) WHERE lag < 48))
+  SELECT * FROM s)
+SELECT Cluster, CAST(lag AS INTEGER) AS lag, {q6('last')} AS pacf FROM steps"""))
 def pacf(spark, d):
     correlations = diagnostics.acf(fx.type_series(spark, d), fx.TYPES, "Consumption", 48)
     return diagnostics.pacf(correlations, ["Cluster"]).withColumn("pacf", r6("pacf"))

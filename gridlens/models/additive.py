@@ -1,9 +1,9 @@
 """Trend, seasons, holidays and outside inputs added up, one model per cluster.
 
-Ridge weights stand in for normal priors: 0.05 on trend bends and 10 on all other effects. The
-number of bends (25 over the first 80 % of the training span) and the yearly and weekly orders
-(10 and 3) follow Taylor and Letham (2018); a yearly season needs two years of data and a weekly
-one two weeks.
+Trend bends have a Laplace prior of width 0.05, so that most of them are exactly 0; all other effects
+have normal priors of width 10. The number of bends (25 over the first 80 % of the training span) and
+the yearly and weekly orders (10 and 3) follow Taylor and Letham (2018); a yearly season needs two
+years of data and a weekly one two weeks.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from gridlens.functions.dates import fourier_terms, with_holiday_columns
 from gridlens.models.linalg import gram, predict, solve
 from gridlens.operators import series as S
+from gridlens.session import cut_lineage
 
 BENDS, BEND_SPAN = 25, 0.8
-BEND_PRIOR, EFFECT_PRIOR = 0.05, 10.0
+BEND_PRIOR, TREND_PRIOR, EFFECT_PRIOR = 0.05, 5.0, 10.0
 YEARLY, WEEKLY, DAILY = (365.25, 10), (7.0, 3), (1.0, 15)
 NOISE = 0.1
 
@@ -67,16 +68,63 @@ def design_for(train: DataFrame, inputs: Sequence[str], time: str = "Date") -> D
     return Design(lo, hi, tuple(inputs))
 
 
+def _weights(names: Sequence[str]) -> tuple[list[float], list[float]]:
+    """Ridge weight and weight on the absolute value of each effect's coefficient."""
+    widths = {"trend": TREND_PRIOR}
+    bent = [n.startswith("bend_") for n in names]
+    ridge = [0.0 if b else NOISE / widths.get(n, EFFECT_PRIOR) ** 2 for n, b in zip(names, bent)]
+    return ridge, [NOISE / BEND_PRIOR if b else 0.0 for b in bent]
+
+
 def fit(train: DataFrame, design: Design, target: str = "Consumption_Scaled",
         cluster: str = "Cluster", time: str = "Date") -> DataFrame:
     wide, names = design.apply(train, cluster, time, [target])
-    penalty = [
-        NOISE / (BEND_PRIOR if n.startswith("bend_") else EFFECT_PRIOR) ** 2 for n in names
-    ]
-    if "trend" in names:
-        penalty[names.index("trend")] = NOISE / 5.0**2
+    ridge, absolute = _weights(names)
     sums = gram(wide, [cluster], names, [target])
-    return solve(sums, [cluster], len(names), [target], penalty).drop("target")
+    return solve(sums, [cluster], len(names), [target], ridge, absolute=absolute).drop("target")
+
+
+def bends(coefs: DataFrame, design: Design, cluster: str = "Cluster", time: str = "Date") -> DataFrame:
+    """Rows (cluster, bend, at, change) of the bends that the fit uses: the number and stamp of the
+    bend, and by how much the slope changes there, per day."""
+    # Bends stand before the seasons, which come last.
+    first = F.size("coef") - len(design.columns(time)[2]) - BENDS + 1
+    at = S.epoch(F.lit(design.start).cast("timestamp_ntz")) + F.lit(design.days * 86400.0 * BEND_SPAN / BENDS) * F.col("bend")
+    long = coefs.select(cluster, F.posexplode(F.slice("coef", first, F.lit(BENDS))).alias("bend", "change"))
+    return long.filter("change != 0").withColumn("bend", F.col("bend") + 1).select(
+        cluster, "bend", F.timestamp_seconds(at).cast("timestamp_ntz").alias("at"),
+        (F.col("change") / F.lit(design.days)).alias("change"),
+    )
+
+
+def optimality(train: DataFrame, design: Design, coefs: DataFrame, target: str = "Consumption_Scaled",
+               cluster: str = "Cluster", time: str = "Date", tolerance: float = 1e-6) -> DataFrame:
+    """Does each cluster's fit meet the conditions of a minimum? Rows (cluster, n_bends, optimal).
+
+    The pull of the residuals on an effect must equal its ridge weight times its coefficient, on a
+    bend in use its weight with the coefficient's sign, and on an unused bend not exceed that weight.
+    """
+    wide, names = design.apply(train, cluster, time, [target])
+    ridge, absolute = _weights(names)
+    # Written once: each of the sums below would work out all effects anew.
+    fitted = predict(cut_lineage(wide.na.drop()), coefs, [cluster], names, "_fit")
+    rest = cut_lineage(fitted.withColumn("_r", F.col(target) - F.col("_fit")))
+    pulls = rest.groupBy(cluster).agg(
+        F.sum(F.abs("_r")).alias("_size"), F.abs(F.sum("_r")).alias("_sum"),
+        *[F.sum(F.col("_r") * F.col(n)).alias(f"_p{i}") for i, n in enumerate(names)],
+    )
+    judged = pulls.join(coefs.select(cluster, "coef"), cluster)
+    allowed = F.lit(tolerance) * (F.lit(1.0) + F.col("_size"))
+    fine = F.col("_sum") <= allowed
+    used = F.lit(0)
+    for i, (r, a) in enumerate(zip(ridge, absolute)):
+        pull, c = F.col(f"_p{i}"), F.col("coef")[i]
+        if a:
+            fine &= F.when(c != 0, F.abs(pull - F.signum(c) * a) <= allowed).otherwise(F.abs(pull) <= a + allowed)
+            used += (c != 0).cast("int")
+        else:
+            fine &= F.abs(pull - c * r) <= allowed
+    return judged.select(cluster, used.alias("n_bends"), fine.alias("optimal"))
 
 
 def forecast(coefs: DataFrame, design: Design, future: DataFrame, cluster: str = "Cluster",

@@ -1,8 +1,9 @@
-"""One week in, one day out: a linear map from scaled windows, per cluster.
+"""One week in, one day out: a linear map from windows of one or more channels, per cluster.
 
-Every window is centred and divided by its own deviation before the fit and restored after the
-forecast, so a change of level between training and use does not matter. Windows are never
-stored: each block adds up the cross products of its own windows.
+The first channel is the series, the others are outside inputs of the same hours (weather, flags).
+Every channel is taken from its own mean over the window, and the forecast is put back on the mean
+of the series, so a change of level between training and use does not matter. Windows are never
+stored or multiplied out: their products follow from lagged sums (``models/lagged.py``).
 """
 
 from __future__ import annotations
@@ -14,79 +15,76 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.models.linalg import solve, sum_gram
-from gridlens.operators import series as S
+from gridlens.models import lagged, ridge as ridge_path
 from gridlens.operators.series import Series
-from gridlens.operators.windows import EPSILON, PRED_LEN, SEQ_LEN, rolling_origin
-
-BLOCK_ROWS = 2_048
+from gridlens.operators.windows import PRED_LEN, SEQ_LEN, rolling_origin, tail_validation
 
 
 def fit(train: DataFrame, s: Series, value: str, seq: int = SEQ_LEN, pred: int = PRED_LEN,
-        ridge: float = 1.0, regular: bool = True) -> DataFrame:
-    """Coefficients (keys, step, intercept, coef): one weight row per forecast step."""
-    keys = s.key_list
-    spread = S.blocks(
-        train, s, behind=0, ahead=seq + pred - 1, regular=regular,
-        block_rows=max(BLOCK_ROWS, seq + pred),
-    ).select(*keys, "_block", "_pos", "_core", F.col(value).cast("double").alias("_y"))
-    width = 1 + seq + pred
-    upper = np.triu_indices(width)
+        ridge: float | None = None, regular: bool = True, inputs: Sequence[str] = (),
+        share: float = 0.1) -> DataFrame:
+    """Coefficients (keys, step, intercept, coef, ridge): one weight row per forecast step.
+
+    ``coef`` holds ``seq`` weights for each channel, the series first, to be applied to the plain
+    window: means are folded in. Without ``ridge``, each key's weight is the one of ``WEIGHTS`` that
+    does best on windows within the last ``share`` of its rows after a fit to those before; the model
+    is then fitted to all windows. Keys without a window get no row.
+    """
+    keys, channels, length = s.key_list, [value, *inputs], seq + pred
+    weights = ridge_path.WEIGHTS if ridge is None else (ridge,)
+    rows = train.select(*keys, s.time, *channels)
+    if ridge is None:
+        rows = tail_validation(rows, s, share, length + 1)
+    held = "is_validation" if ridge is None else None
+    sums = lagged.window_sums(rows, s, channels, length, held, regular)
     types = dict(train.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["i int, j int, part double"])
-
-    def block_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        y = pdf["_y"].to_numpy()
-        starts = int(pdf["_core"].sum())
-        n = min(starts, len(y) - seq - pred + 1)
-        m = np.zeros((width, width))
-        if n > 0:
-            rows = np.lib.stride_tricks.sliding_window_view(y, seq + pred)[:n]
-            rows = rows[~np.isnan(rows).any(axis=1)]
-            mean = rows[:, :seq].mean(axis=1, keepdims=True)
-            std = np.sqrt(rows[:, :seq].var(axis=1, keepdims=True) + EPSILON)
-            z = np.hstack([np.ones((len(rows), 1)), (rows - mean) / std])
-            m = z.T @ z
-        out = pd.DataFrame(
-            {"i": upper[0].astype("int32"), "j": upper[1].astype("int32"), "part": m[upper]}
+    schema = ", ".join(
+        [f"`{k}` {types[k]}" for k in keys]
+        + ["step int, intercept double, coef array<double>, ridge double"]
+    )
+
+    def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = {
+            name: lagged.centred_moments(*products, seq)
+            for name, products in lagged.window_products(pdf, len(channels), length).items()
+            if products[0] > 0
+        }
+        if not parts:
+            return pd.DataFrame({c: [] for c in [*keys, "step", "intercept", "coef", "ridge"]})
+        first, *others = parts.values()
+        weight, intercept, coef = ridge_path.choose_and_fit(
+            parts.get("train"), parts.get("held"), sum(others, first), weights
         )
-        for a, k in enumerate(keys):
-            out.insert(a, k, pdf[k].iloc[0])
+        # Fold the means in: w·(x − mean x) is (w − mean w)·x, and the level is a mean of the series.
+        coef = coef.T.reshape(pred, len(channels), seq)
+        coef = coef - coef.mean(axis=2, keepdims=True)
+        coef[:, 0] += 1.0 / seq
+        out = pd.DataFrame({
+            "step": np.arange(pred, dtype="int32"), "intercept": intercept,
+            "coef": list(coef.reshape(pred, -1).tolist()), "ridge": weight,
+        })
+        for n, k in enumerate(keys):
+            out.insert(n, k, pdf[k].iloc[0])
         return out
 
-    sums = sum_gram(spread.groupBy(*keys, "_block").applyInPandas(block_sums, schema), keys)
-    has_windows = sums.filter("i = 0 and j = 0 and total > 0").select(*keys)
-    sums = sums.join(has_windows, keys, "left_semi")
-    targets = [str(h) for h in range(pred)]
-    return solve(sums, keys, seq, targets, [ridge] * seq).select(
-        *keys, F.col("target").cast("int").alias("step"), "intercept", "coef"
-    )
+    return lagged.add_up(sums, keys).groupBy(*keys).applyInPandas(one_series, schema)
 
 
 def predict_windows(windows: DataFrame, coefs: DataFrame, keys: Sequence[str],
-                    keep: Sequence[str], seq: int = SEQ_LEN) -> DataFrame:
-    """Add ``forecast``, an array of one value per step, to rows with an ``input`` array."""
+                    keep: Sequence[str]) -> DataFrame:
+    """Add ``forecast``, an array of one value per step, to rows with an ``input`` array (all
+    channels one after the other). A window with a NULL in it gets no row."""
     keys = list(keys)
     model = coefs.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("step", "intercept", "coef"))).alias("_model")
     )
-    total = F.aggregate("input", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    joined = windows.join(model, keys).withColumn("_mean", total / seq)
-    spread = F.aggregate(
-        "input", F.lit(0.0),
-        lambda a, x: a + (x.cast("double") - F.col("_mean")) * (x.cast("double") - F.col("_mean")),
-    )
-    joined = joined.withColumn("_std", F.sqrt(spread / seq + F.lit(EPSILON)))
-    scaled = F.transform("input", lambda x: (x.cast("double") - F.col("_mean")) / F.col("_std"))
-    joined = joined.withColumn("_scaled", scaled)
+    whole = windows.filter(~F.exists("input", lambda x: x.isNull()))
 
     def one_step(m):
-        products = F.zip_with(F.col("_scaled"), m["coef"], lambda x, c: x * c)
-        total = F.aggregate(products, F.lit(0.0), lambda a, p: a + p)
-        return (total + m["intercept"]) * F.col("_std") + F.col("_mean")
+        products = F.zip_with("input", m["coef"], lambda x, c: x.cast("double") * c)
+        return F.aggregate(products, m["intercept"], lambda a, p: a + p)
 
-    return joined.withColumn("forecast", F.transform("_model", one_step)).select(
+    return whole.join(model, keys).withColumn("forecast", F.transform("_model", one_step)).select(
         *keys, *keep, "forecast"
     )
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.operators import series as S
 from gridlens.operators.joins import attach
+from gridlens.operators.runs import sorted_runs
 from gridlens.operators.series import Series
 
 
@@ -43,42 +47,64 @@ def seasonal_decompose(df: DataFrame, s: Series, value: str, period: int = 96) -
     )
 
 
+#: Lags from which products are made by Fourier transform.
+MANY_LAGS = 512
+
+
+def lagged_products(x: np.ndarray, first: int, lags: int) -> np.ndarray:
+    """For lag 0 … ``lags``: the sum of x[t]·x[t − lag] over t from ``first`` on, the sums of the two
+    factors, and the number of pairs. Pairs with a missing value (NaN) are left out."""
+    there = ~np.isnan(x)
+    x = np.where(there, x, 0.0)
+    here = np.where(np.arange(len(x)) >= first, x, 0.0)
+    mask = there.astype(float)
+    own = np.where(np.arange(len(x)) >= first, mask, 0.0)
+    pairs = ((here, x), (here, mask), (own, x), (own, mask))
+    if lags >= MANY_LAGS:
+        size = 1 << int(2 * len(x) - 1).bit_length()
+        turned = {id(v): np.fft.rfft(v, size) for v in (here, x, own, mask)}
+        out = [np.fft.irfft(turned[id(a)] * np.conj(turned[id(b)]), size)[: lags + 1] for a, b in pairs]
+        out[3] = np.round(out[3])
+        return np.array([np.pad(v[: len(x)], (0, max(0, lags + 1 - len(x)))) for v in out])
+    return np.array([
+        [float(np.dot(a[k:], b[: len(x) - k])) if k < len(x) else 0.0 for k in range(lags + 1)] for a, b in pairs
+    ])
+
+
 def acf(df: DataFrame, s: Series, value: str, lags: int = 192) -> DataFrame:
-    """Autocorrelation per series and lag 0 … ``lags``.
+    """Autocorrelation per series and lag 0 … ``lags``, from one scan.
 
-    Each block gives one partial sum of products per lag; the sums meet in a grouped total.
+    Blocks come sorted in Arrow batches; each gives, per lag, the sum of products and what the mean
+    takes from it later: the sums of both factors and the number of pairs.
     """
     keys = s.key_list
-    mean = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    centred = attach(df.select(*keys, s.time, value), mean, keys, "inner").select(
-        *keys, s.time, (F.col(value) - F.col("_mean")).alias("_x")
+    spread = S.blocks(df.select(*keys, s.time, value), s, behind=lags).select(
+        *keys, F.xxhash64(*keys).alias("_key"), "_block", "_pos", "_core", F.col(value).cast("double").alias("_x")
     )
-    spread = S.blocks(centred, s, behind=lags).select(*keys, "_block", "_pos", "_core", "_x")
     types = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["lag int", "product double"])
-
-    def block_products(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        x = pdf["_x"].to_numpy()
-        first = int((~pdf["_core"].to_numpy()).sum())
-        here = x[first:]
-        products = [
-            float(np.dot(here[max(0, k - first):], x[max(0, first - k): len(x) - k]))
-            if len(x) > k else 0.0
-            for k in range(lags + 1)
-        ]
-        out = pd.DataFrame({"lag": np.arange(lags + 1, dtype="int32"), "product": products})
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
+    names = ["_p", "_a", "_b", "_n"]
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["lag int", *[f"{n} double" for n in names]])
 
-    totals = (
-        spread.groupBy(*keys, "_block").applyInPandas(block_products, schema)
-        .groupBy(*keys, "lag").agg(F.sum("product").alias("product"))
-    )
-    variance = totals.filter("lag = 0").select(*keys, F.col("product").alias("_total"))
-    return attach(totals, variance, keys, "inner").select(
-        *keys, "lag", F.try_divide("product", "_total").alias("acf")
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_runs(batches, ["_key", "_block"]):
+            x = rows["_x"].to_numpy().astype(float)
+            own = rows["_core"].to_numpy()
+            sums = lagged_products(x, len(own) - int(own.sum()), lags)
+            yield pa.RecordBatch.from_pydict(
+                {k: pa.repeat(rows[k][0], lags + 1) for k in keys}
+                | {"lag": pa.array(np.arange(lags + 1), pa.int32())}
+                | {n: pa.array(v) for n, v in zip(names, sums)}
+            )
+
+    ordered = spread.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_pos")
+    totals = ordered.mapInArrow(products, schema).groupBy(*keys, "lag").agg(*[F.sum(n).alias(n) for n in names])
+    # At lag 0 both factors are the row itself.
+    whole = F.max(F.when(F.col("lag") == 0, F.struct(*names))).over(Window.partitionBy(*keys))
+    mean = F.try_divide(F.col("_all._a"), F.col("_all._n"))
+    variance = F.col("_all._p") - mean * F.col("_all._a")
+    product = F.col("_p") - mean * (F.col("_a") + F.col("_b")) + F.col("_n") * mean * mean
+    return totals.withColumn("_all", whole).select(
+        *keys, "lag", F.try_divide(product, variance).alias("acf")
     )
 
 

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlens.operators import lloyd
 from gridlens.operators.ranks import running_totals
 from gridlens.session import cut_lineage
 
-PARALLEL_FITS = 5
 HOURS = [f"h{h}" for h in range(1, 25)]
 
 # Names of the five day shapes; a lookup the caller may replace.
@@ -36,23 +31,6 @@ def row_minmax(profiles: DataFrame, cols: list[str] = HOURS) -> DataFrame:
     ).drop("_low", "_high")
 
 
-def _vectors(scaled: DataFrame, client: str) -> DataFrame:
-    values = F.array(*[F.col(c).cast("double") for c in HOURS])
-    return scaled.select(client, array_to_vector(values).alias("features"))
-
-
-def _fits(vectors: DataFrame, tasks: list[tuple[int, int]]) -> list[tuple]:
-    """Fit each (k, seed); a few at a time, since one fit is a row of short jobs."""
-    def fit(task):
-        k, seed = task
-        model = KMeans(k=k, seed=seed, initMode="k-means||").fit(vectors)
-        return model, float(model.summary.trainingCost)
-
-    spark = vectors.sparkSession
-    with ThreadPool(min(len(tasks), PARALLEL_FITS)) as pool:
-        return pool.map(inheritable_thread_target(spark)(fit), tasks)
-
-
 def stable_order(centers: list[list[float]]) -> list[int]:
     """New label of each centre: by the hour of its peak, then by its mean, then by its values."""
     rank = sorted(
@@ -72,29 +50,21 @@ def profile_clusters(scaled: DataFrame, k: int = 5, seed: int = 42, starts: int
 
     Labels follow the centres' shape, so they do not hang on the order of rows or starts.
     """
-    vectors = _vectors(scaled, client).persist(StorageLevel.MEMORY_AND_DISK)
-    fits = _fits(vectors, [(k, seed + i) for i in range(starts)])
-    model, _ = min(fits, key=lambda f: f[1])
-    label = stable_order([[float(x) for x in c] for c in model.clusterCenters()])
-    new = F.element_at(F.array(*[F.lit(x) for x in label]), F.col("prediction") + 1)
-    return model.transform(vectors).select(client, new.cast("int").alias("Cluster"))
+    fits = lloyd.fit_all(scaled, HOURS, [(k, seed + i) for i in range(starts)], client)
+    best = min(fits, key=lambda f: f.cost)
+    label = stable_order(best.centres.tolist())
+    return lloyd.nearest(scaled, HOURS, best.centres, label, [client])
 
 
 def elbow_curve(scaled: DataFrame, k_max: int = 10, seed: int = 42, starts: int = 10,
                 client: str = "ClientID") -> DataFrame:
-    """Cost of the best fit for each k. One cluster needs no fit: it is the total spread."""
-    spark = scaled.sparkSession
-    vectors = _vectors(scaled, client).persist(StorageLevel.MEMORY_AND_DISK)
-    tasks = [(k, seed + i) for k in range(2, k_max + 1) for i in range(starts)]
+    """Cost of the best of several fits for each k, all fitted in the same scans of the profiles."""
+    tasks = [(k, seed + i) for k in range(1, k_max + 1) for i in range(starts if k > 1 else 1)]
     best: dict[int, float] = {}
-    for (k, _), (_, cost) in zip(tasks, _fits(vectors, tasks)):
-        best[k] = min(cost, best.get(k, cost))
-    costs = sorted(best.items())
-    vectors.unpersist()
-    one = scaled.agg(
-        sum((F.var_pop(c) * F.count(c) for c in HOURS), F.lit(0.0)).alias("inertia")
-    ).select(F.lit(1).alias("k"), "inertia")
-    return one.unionByName(spark.createDataFrame(costs, "k int, inertia double"))
+    for f in lloyd.fit_all(scaled, HOURS, tasks, client):
+        if len(f.centres):
+            best[f.k] = min(f.cost, best.get(f.k, f.cost))
+    return scaled.sparkSession.createDataFrame(sorted(best.items()), "k int, inertia double")
 
 
 def cluster_shapes(scaled: DataFrame, clusters: DataFrame, client: str = "ClientID") -> DataFrame:

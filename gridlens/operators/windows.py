@@ -73,8 +73,9 @@ def peak_row(df: DataFrame, keys: Sequence[str], value: str, time: str) -> DataF
 
 
 def window_origins(df: DataFrame, s: Series, value: str, start, seq: int = SEQ_LEN,
-                   pred: int = PRED_LEN) -> DataFrame:
-    """Inputs of a forecast made every ``pred`` steps from ``start`` on (a regular grid).
+                   pred: int = PRED_LEN, others: Sequence[str] = ()) -> DataFrame:
+    """Inputs of a forecast made every ``pred`` steps from ``start`` on (a regular grid); with
+    ``others``, the same hours of these columns follow in the same array.
 
     ``start`` is a column of the input: the first step to forecast. Each row sends itself to the
     few windows it is part of, and a window gathers exactly ``seq`` rows. Windows whose ``seq``
@@ -85,12 +86,12 @@ def window_origins(df: DataFrame, s: Series, value: str, start, seq: int = SEQ_L
     # As input: windows with origin o·pred, offset − seq ≤ … < offset; as output: its own.
     last = F.floor((F.col("_off") + seq) / pred)
     own = F.floor(F.col("_off") / pred)
-    placed = df.select(*s.keys, s.time, value, start).withColumn("_off", offset)
+    placed = df.select(*s.keys, s.time, value, *others, start).withColumn("_off", offset)
     feeds = F.when(last >= F.greatest(first, F.lit(0)), F.sequence(F.greatest(first, F.lit(0)), last))
     inputs = (
         placed.withColumn("_o", F.explode(feeds))
         .groupBy(*s.keys, "_o", start)
-        .agg(F.sort_array(F.collect_list(F.struct("_off", value))).alias("_w"))
+        .agg(F.sort_array(F.collect_list(F.struct("_off", value, *others))).alias("_w"))
         .filter(F.size("_w") == seq)
     )
     outputs = (
@@ -103,7 +104,7 @@ def window_origins(df: DataFrame, s: Series, value: str, start, seq: int = SEQ_L
     return inputs.join(outputs, [*s.keys, "_o"], "left_semi").select(
         *s.keys,
         (F.col(start) + S.seconds(s.step * pred) * F.col("_o")).alias("origin"),
-        F.col(f"_w.{value}").alias("input"),
+        (F.concat(*[F.col(f"_w.{c}") for c in (value, *others)]) if others else F.col(f"_w.{value}")).alias("input"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.values import clamp_nonneg, normalise_client_id
 from gridlens.models import additive, linalg, ols, seasonal_arx, windowed
 from gridlens.models.store import load_model
-from gridlens.operators import resample, reshape, scale, windows
+from gridlens.operators import resample, reshape, scale, series as S, windows
 from gridlens.operators.joins import attach
 from gridlens.operators.segment import CLUSTER_NAMES
 from gridlens.operators.series import Series
@@ -96,42 +96,54 @@ def _additive(future: DataFrame, tables: dict[str, DataFrame], s: Series) -> Dat
 
 def _autoregressive(future: DataFrame, tables: dict[str, DataFrame], s: Series,
                     hour: int) -> DataFrame:
-    """One recursion per request, from the cluster's last known day and the client's inputs."""
+    """The cluster's path from its last known day, moved by the change of the client's inputs."""
     per = hour // s.step
     inputs = tables["features"].first()["names"]
     flags = [c for c in inputs if c in ols.FLAGS]
     ready = future.withColumns({c: F.col(c).cast("double") for c in flags})
     hourly = resample.hourly_block_mean(ready, ["request_id", "Cluster"], "step", inputs, per)
-    origin = F.timestamp_seconds(F.col("block") * hour).cast("timestamp_ntz")
-    hourly = hourly.withColumn(s.time, origin)
-    who = hourly.select("request_id", "Cluster").distinct()
-    state = who.join(tables["state"], "Cluster").drop("Cluster")
-    coefs = who.join(tables["coefs"], "Cluster").drop("Cluster")
+    # Requests count their hours from the cluster's last one.
+    last = tables["state"].groupBy("Cluster").agg(F.max(s.time).alias("_last"))
+    hourly = attach(hourly, last, ["Cluster"], "inner").withColumn(
+        s.time, F.timestamp_seconds(S.epoch("_last") + (F.col("block") + 1) * hour).cast("timestamp_ntz")
+    )
     steps = seasonal_arx.forecast(
-        coefs, state, hourly.drop("block", "Cluster"), Series(("request_id",), s.time, hour), inputs
+        tables["coefs"], tables["state"], hourly, Series(("Cluster",), s.time, hour), inputs,
+        keep=["request_id", "block"],
     )
-    place = (F.unix_seconds(F.col(s.time).cast("timestamp")) / hour).cast("int")
     repeat = F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("_r")
-    return steps.select("request_id", place.alias("_h"), SCALED, repeat).select(
-        "request_id", (F.col("_h") * per + F.col("_r")).alias("step"), SCALED
+    return steps.select("request_id", "block", SCALED, repeat).select(
+        "request_id", (F.col("block") * per + F.col("_r")).cast("int").alias("step"), SCALED
     )
 
 
 def _windowed(asked: DataFrame, history: DataFrame, tables: dict[str, DataFrame],
               s: Series, hour: int) -> DataFrame:
-    """The client's last week, its 24 forecasts repeated and tiled to the horizon."""
+    """The client's last week, with the weather and flags of its hours; its 24 forecasts repeated
+    and tiled to the horizon."""
     per = hour // s.step
+    names = tables["features"].first()["names"]
     clients = asked.select("ClientID", "Cluster").distinct()
-    mine = attach(history.select("ClientID", s.time, "Consumption"), clients, ["ClientID"], "inner")
+    seen = history.select(
+        "ClientID", s.time, "Consumption",
+        *[F.col(c).cast("double").alias(c) if c in ols.FLAGS else F.col(c) for c in names],
+    )
+    mine = attach(seen, clients, ["ClientID"], "inner")
     coarse = Series(("ClientID",), s.time, hour)
-    hourly = resample.resample_mean_ffill(mine, Series(("ClientID",), s.time, s.step), ["Consumption"], hour)
+    hourly = resample.resample_mean_ffill(
+        mine, Series(("ClientID",), s.time, s.step), ["Consumption", *names], hour
+    )
     newest = windows.last_hours_per_client(hourly, coarse)
     scaled = scale.apply_scaler_join(newest, tables["scalers"], ["Consumption"])
+    weather = [c for c in names if c in ols.WEATHER]
+    if weather:
+        scaled = scale.apply_global_scaler(scaled, tables["weather"], weather)
+    channels = ["Consumption_Scaled", *names]
     inputs = (
         scaled.groupBy("ClientID")
-        .agg(F.sort_array(F.collect_list(F.struct(s.time, "Consumption_Scaled"))).alias("_w"))
+        .agg(F.sort_array(F.collect_list(F.struct(s.time, *channels))).alias("_w"))
         .filter(F.size("_w") == windows.SEQ_LEN)
-        .select("ClientID", F.col("_w.Consumption_Scaled").alias("input"))
+        .select("ClientID", F.concat(*[F.col(f"_w.{c}") for c in channels]).alias("input"))
         .join(clients, "ClientID")
     )
     day = windowed.predict_windows(inputs, tables["coefs"], ["Cluster"], ["ClientID"])
@@ -150,7 +162,7 @@ TABLES = {
     "lr": ["coefs", "features", "scalers"],
     "prophet": ["coefs", "design", "scalers"],
     "sarimax": ["coefs", "state", "features", "scalers"],
-    "nst": ["coefs", "scalers"],
+    "nst": ["coefs", "features", "scalers"],
 }
 
 
@@ -162,10 +174,9 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
     one row with its error."""
     spark = requests.sparkSession
     has_weather = any(c in features.columns for c in ols.WEATHER)
-    shared = ["scalers", "clusters"]
     steps = (F.col("horizon_hours") * (hour // s.step)).cast("int")
     parts = []
-    base = {m: TABLES[m] + (["weather"] if has_weather else []) for m in MODELS}
+    base = {m: [*TABLES[m], "clusters"] + (["weather"] if has_weather else []) for m in MODELS}
     loaded = {}
     for model in MODELS:
         for mode in modes:
@@ -175,16 +186,25 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
                 continue
     if not loaded:
         raise FileNotFoundError(f"no model in {path}")
-    any_model, any_mode = next(iter(loaded))
-    common = load_model(spark, path, any_model, any_mode, shared)
+    # Each model and mode knows the clients of its own version.
+    labelled = {
+        name: reshape.union_splits(*[
+            t[name].withColumns({"model": F.lit(m), "mode": F.lit(d)}) for (m, d), t in loaded.items()
+        ]) for name in ("clusters", "scalers")
+    }
+    anywhere = labelled["clusters"].groupBy("ClientID").agg(F.max("Cluster").alias("Cluster"))
     checked = request_errors(
-        requests.withColumn("horizon_steps", steps), common["clusters"], common["scalers"],
+        requests.withColumn("horizon_steps", steps), anywhere, labelled["scalers"].select("ClientID").distinct(),
         sorted({m for m, _ in loaded}),
     )
     pairs = F.concat_ws("/", "model", "mode").isin([f"{m}/{d}" for m, d in loaded])
+    mine = labelled["clusters"].select("ClientID", "model", "mode", "Cluster")
+    checked = attach(checked.drop("Cluster"), mine, ["ClientID", "model", "mode"], "left")
     checked = checked.withColumn(
         "error", F.coalesce(
             "error", F.when(~pairs, F.lit("No model saved for this mode.")),
+            F.when(F.col("Cluster").isNull(), F.concat(
+                F.lit("ClientID '"), F.col("ClientID"), F.lit("' is not known to this model."))),
             F.when(F.coalesce("horizon_steps", F.lit(0)) <= 0, F.lit("The horizon must be positive.")),
         )
     )
@@ -214,21 +234,28 @@ def forecast_batch(requests: DataFrame, features: DataFrame, path: str, origin:
         who = good.filter(mine).select("request_id", "ClientID", "model", "mode")
         scaled = part.select("request_id", "step", SCALED).join(who, "request_id")
         # Each model and mode was trained with scalers of its own.
-        parts.append(attach(scaled, tables.get("scalers", common["scalers"]), ["ClientID"], "left"))
+        parts.append(attach(scaled, tables["scalers"], ["ClientID"], "left"))
     kw = F.round(clamp_nonneg(F.col(SCALED) * F.col("std") + F.col("mean")), 3)
     rows = cut_lineage(reshape.union_splits(*parts).withColumn("kw", kw))
     ts = origin + F.expr(f"INTERVAL '{s.step}' SECOND") * F.col("step")
     # A forecast with a gap is no forecast: its request gets one row that says so.
     state = rows.groupBy("request_id").agg(F.bool_or(F.col("kw").isNull()).alias("_gap"))
-    judged = good.join(state, "request_id", "left").withColumn(
+    fitted = reshape.union_splits(*[
+        t["coefs"].select("Cluster").distinct().withColumns({"model": F.lit(m), "mode": F.lit(d), "_fitted": F.lit(True)})
+        for (m, d), t in loaded.items()
+    ])
+    judged = attach(good.join(state, "request_id", "left"), fitted, ["Cluster", "model", "mode"], "left")
+    judged = judged.withColumn(
         "error",
         F.when(F.col("_gap"), F.lit("The model has no forecast for some of the asked hours."))
         .when(F.col("_gap").isNotNull(), F.lit(None))
-        .when(F.col("model") == "nst", F.lit("No full week of readings before the origin, or no model for the cluster."))
+        .when(F.col("_fitted").isNull(), F.concat(
+            F.lit("The model was not fitted for cluster "), F.col("Cluster").cast("string"), F.lit(".")))
+        .when(F.col("model") == "nst", F.lit("No full week of complete readings before the origin."))
         .otherwise(F.lit("No readings one year before the origin.")),
     )
     failed = checked.filter(F.col("error").isNotNull()).unionByName(
-        judged.filter(F.col("error").isNotNull()).drop("_gap")
+        judged.filter(F.col("error").isNotNull()).drop("_gap", "_fitted")
     )
     served = rows.join(failed.select("request_id"), "request_id", "left_anti").select(
         "request_id", "ClientID", "model", "mode", ts.alias("ts"), "kw",

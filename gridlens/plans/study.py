@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.functions.values import flags_to_int
 from gridlens.models import additive, ols, seasonal_arx, windowed
+from gridlens.models.store import save_model
 from gridlens.operators import clean, merge, metrics, resample, reshape, scale, windows
 from gridlens.operators.series import Series
-from gridlens.session import cut_lineage
+from gridlens.session import cut_lineage, scope
 
 MODELS = ("lr", "prophet", "sarimax", "nst")
 
@@ -54,6 +55,17 @@ class Outcome:
     summary: DataFrame
     tables: dict[str, DataFrame]
 
+    def coverage(self) -> DataFrame:
+        return forecast_coverage(self.scored)
+
+
+def forecast_coverage(scored: DataFrame) -> DataFrame:
+    """Rows (Cluster, n_rows, n_forecasts): how many of the rows to forecast have a forecast. Scores
+    are made of the others' hours alone, so a gap shows here and nowhere else."""
+    return scored.groupBy("Cluster").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("Predicted_kW").alias("n_forecasts")
+    )
+
 
 def _score(p: Prepared, merged: DataFrame, tables: dict[str, DataFrame]) -> Outcome:
     scored = scale.inverse_scale(merged, p.client_scaler).withColumn(
@@ -79,7 +91,9 @@ def fit_and_score(features: DataFrame, model: str, mode: str, cut: Column,
     p = prepare(features, cut)
     if model == "lr":
         return _linear(p, features)
-    inputs = ols.regressors(mode, features.columns, flags=model != "prophet")
+    # The windowed model sees weather and flags in either mode; the lags are in its window.
+    known = "long_term" if model == "nst" else mode
+    inputs = ols.regressors(known, features.columns, flags=model != "prophet")
     return _cluster_level(p, features, model, mode, inputs, s, hour)
 
 
@@ -142,15 +156,38 @@ def _cluster_level(p: Prepared, features: DataFrame, model: str, mode: str,
         order = coefs.sparkSession.createDataFrame([(inputs,)], "names array<string>")
         tables.update(coefs=coefs, state=state, features=order)
     else:
-        # The fit has no early stop that would need held-out rows: it takes all of the past.
-        coefs = cut_lineage(windowed.fit(past, coarse, ols.TARGET))
+        coefs = cut_lineage(windowed.fit(past, coarse, ols.TARGET, inputs=inputs))
         starts = ahead.groupBy("Cluster").agg(F.min(s.time).alias("_start"))
         whole = past.unionByName(ahead).join(starts, "Cluster")
-        origins = windows.window_origins(whole, coarse, ols.TARGET, "_start")
+        origins = windows.window_origins(whole, coarse, ols.TARGET, "_start", others=inputs)
         forecast = windowed.roll(origins, coefs, coarse).select(
             "Cluster", s.time, "Predicted_Consumption_Scaled"
         )
-        tables["coefs"] = coefs
+        order = coefs.sparkSession.createDataFrame([(inputs,)], "names array<string>")
+        tables.update(coefs=coefs, features=order)
     if hour > s.step:
         forecast = resample.upsample_ffill(forecast, coarse, s.step)
     return _score(p, merge.safe_merge(p.test, forecast), tables)
+
+
+def run_pipeline(spark: SparkSession, features_path: str, model: str, mode: str, cut: Column,
+                 model_path: str, out_path: str, s: Series = Series(), hour: int = 3600) -> dict[str, DataFrame]:
+    """Load a feature table, fit, forecast, score, and save: the whole way of one model.
+
+    The model goes to ``model_path``; ``out_path`` gets the tables ``scored``, ``portfolio``,
+    ``summary`` and ``coverage``, which are returned as read back. Intermediate tables are cleared. No
+    forecast at all is an error; hours without one are counted in ``coverage``.
+    """
+    with scope(spark):
+        features = spark.read.parquet(features_path).drop("year")
+        out = fit_and_score(features, model, mode, cut, s, hour)
+        save_model(out.tables, model_path, model, mode)
+        out.scored.write.parquet(f"{out_path}/scored")
+    scored = spark.read.parquet(f"{out_path}/scored")
+    if scored.filter(F.col("Predicted_kW").isNotNull()).isEmpty():
+        raise ValueError(f"{model!r} ({mode}) has no forecast for any row behind the cut")
+    metrics.portfolio_sum(scored).write.parquet(f"{out_path}/portfolio")
+    portfolio = spark.read.parquet(f"{out_path}/portfolio")
+    metrics.cluster_metrics(portfolio).write.parquet(f"{out_path}/summary")
+    forecast_coverage(scored).write.parquet(f"{out_path}/coverage")
+    return {n: spark.read.parquet(f"{out_path}/{n}") for n in ("scored", "portfolio", "summary", "coverage")}

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +51,17 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
+#: The folder of the innermost open scope.
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder every executor can reach.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only a local master may fall
     back to a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _SCOPE.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
@@ -72,3 +79,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside go to one folder, which is cleared at the end, also after an
+    error. Tables that are to stay must be written elsewhere before."""
+    base = shared_dir(spark)
+    token = _SCOPE.set(base)
+    try:
+        yield base
+    finally:
+        _SCOPE.reset(token)
+        remove_dir(spark, base)
