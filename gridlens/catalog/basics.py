@@ -166,17 +166,6 @@ def downcast(spark, d):
     return small.withColumn("small", F.col("small").cast("double"))
 
 
-@query("regressors")
-def regressors(spark, d):
-    table = cut_lineage(fx.hourly_features(spark, d))
-    names = ols.regressors("day_ahead", table.columns)
-    p = scale.apply_scaler_join(table, scale.fit_client_scaler(table), ["Lag_24h", "Lag_1week"])
-    stats = p.agg(*[F.avg(F.col(n).cast("double")).alias(n) for n in names])
-    long_term = set(ols.regressors("long_term", table.columns))
-    flags = F.col("regressor").isin(sorted(long_term))
-    return stats.unpivot([], names, "regressor", "mean").withColumn("long_term", flags)
-
-
 # ---- dates, text, arithmetic ------------------------------------------------------------
 
 @query("calendar_features", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlens import fixtures as fx
 from gridlens.catalog.basics import LAG7_FIT_SQL, lag7_fit
 from gridlens.catalog.registry import q6, query, r6, using
-from gridlens.catalog.series import MAPE_SQL, SCALER_SQL, WMAPE_SQL, daily_scaler
+from gridlens.catalog.series import BASE30, LAG, MAPE_SQL, READINGS_SQL, SCALER_SQL, WMAPE_SQL, daily_scaler
 from gridlens.functions import dates
 from gridlens.models import additive, lagged, ols, store
 from gridlens.operators import (
@@ -112,6 +112,39 @@ def tier_histogram(spark, d):
 
 # ---- models -----------------------------------------------------------------------------
 
+# The events are of one year, 2024, with Easter on 31 March.
+BUILT_SQL = READINGS_SQL + f""",
+holidays AS (
+  SELECT make_date(2024, m, d) AS h FROM (VALUES {', '.join(f'({m}, {x})' for m, x in [*dates.FIXED_HOLIDAYS, *dates.SUSPENDABLE_HOLIDAYS])}) AS f(m, d)
+  UNION SELECT DATE '2024-03-31' + n FROM (VALUES {', '.join(f'({n})' for n in [*dates.EASTER_HOLIDAYS, *dates.SUSPENDABLE_EASTER_HOLIDAYS])}) AS f(n)),
+lagged AS (
+  SELECT *, {LAG.format('HDH', 24)} AS HDH_lag24h, {LAG.format('CDH', 24)} AS CDH_lag24h,
+         CASE WHEN count(HDH) {BASE30} >= 24 THEN HDH - avg(HDH) {BASE30} END AS HDH_anomaly,
+         CASE WHEN count(CDH) {BASE30} >= 24 THEN CDH - avg(CDH) {BASE30} END AS CDH_anomaly,
+         {LAG.format('Consumption', 24)} AS Lag_24h, {LAG.format('Consumption', 168)} AS Lag_1week FROM readings),
+built AS (SELECT * FROM lagged WHERE Lag_1week IS NOT NULL),
+spread AS (SELECT ClientID, avg(Consumption) AS mean, CASE WHEN stddev_pop(Consumption) > 0 THEN stddev_pop(Consumption) ELSE 1 END AS std FROM built GROUP BY 1)"""
+PLAIN = [*ols.WEATHER, *ols.FLAGS]
+
+
+@query("regressors", using(BUILT_SQL, f"""
+ready AS (
+  SELECT *, CAST(isodow(Date) >= 6 AS DOUBLE) AS Is_Weekend, CAST(CAST(Date AS DATE) IN (SELECT h FROM holidays) AS DOUBLE) AS Is_Holiday,
+         (Lag_24h - mean) / std AS Lag_24h_Scaled, (Lag_1week - mean) / std AS Lag_1week_Scaled
+  FROM built JOIN spread USING (ClientID))
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS regressor, {q6(f'avg({c})')} AS mean, {str(c in PLAIN).lower()} AS long_term FROM ready"
+    for c in [*PLAIN, *ols.SCALED_LAGS])))
+def regressors(spark, d):
+    table = cut_lineage(fx.hourly_features(spark, d))
+    names = ols.regressors("day_ahead", table.columns)
+    p = scale.apply_scaler_join(table, scale.fit_client_scaler(table), ["Lag_24h", "Lag_1week"])
+    stats = p.agg(*[r6(F.avg(F.col(n).cast("double"))).alias(n) for n in names])
+    long_term = set(ols.regressors("long_term", table.columns))
+    flags = F.col("regressor").isin(sorted(long_term))
+    return stats.unpivot([], names, "regressor", "mean").withColumn("long_term", flags)
+
+
 @query("cluster_ols_fit", LAG7_FIT_SQL)
 def cluster_ols_fit(spark, d):
     return lag7_fit(spark, d).select(

@@ -79,9 +79,10 @@ def mirror_future(history: DataFrame, requests: DataFrame, origin: Column, s: Se
 
     ``requests`` has one row per request with its client and number of steps. When the year-old
     window holds fewer rows than asked for it is repeated. Calendar columns are computed for
-    the new stamps; every other column is the mirrored one. Requests without any old row give
-    no rows here (see ``request_errors``).
+    the new stamps; every other column is the mirrored one. Requests without any old row, and those
+    for no step at all (0, negative or NULL), give no rows here (see ``request_errors``).
     """
+    requests = requests.filter(F.col(horizon) > 0)
     start = origin - F.expr("INTERVAL '1' YEAR")
     step = F.expr(f"INTERVAL '{s.step}' SECOND")
     longest = requests.agg(F.max(horizon)).scalar()
