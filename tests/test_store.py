@@ -1,14 +1,19 @@
 """Saved models: one version at a time; scopes that clear what they made; coverage of forecasts."""
 
 import os
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridlens.models import store
+from gridlens.operators import resample
+from gridlens.operators.series import Series
 from gridlens.plans import study
 from gridlens.session import cut_lineage, remove_dir, scope
 
+T0 = datetime(2013, 1, 1)
+
 
 def one(spark, value):
     return spark.createDataFrame([(0, value)], "Cluster int, v double")
@@ -58,3 +63,11 @@ def test_coverage_counts_rows_without_a_forecast(spark):
         [(0, 1.0), (0, None), (1, None), (None, 2.0)], "Cluster int, Predicted_kW double")
     got = {r["Cluster"]: (r["n_rows"], r["n_forecasts"]) for r in study.forecast_coverage(scored).collect()}
     assert got == {0: (2, 1), 1: (1, 0), None: (1, 1)}
+
+
+def test_requests_for_no_step_get_no_rows(spark):
+    history = spark.createDataFrame([("a", T0 + timedelta(hours=i), float(i)) for i in range(6)], "ClientID string, Date timestamp_ntz, x double")
+    requests = spark.createDataFrame([(1, "a", 2), (2, "a", 0), (3, "a", None), (4, "a", -3)], "request_id int, ClientID string, horizon_steps int")
+    origin = F.lit(T0 + timedelta(days=365)).cast("timestamp_ntz")
+    rows = resample.mirror_future(history, requests, origin, Series(("ClientID",), "Date", 3600)).collect()
+    assert sorted((r["request_id"], r["x"]) for r in rows) == [(1, 0.0), (1, 1.0)]
