@@ -1,5 +1,6 @@
 """Saved models: one version at a time; scopes that clear what they made; coverage of forecasts."""
 
+import json
 import os
 from datetime import datetime, timedelta
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlens.models import store
 from gridlens.operators import resample
 from gridlens.operators.series import Series
-from gridlens.plans import study
+from gridlens.plans import build, study
 from gridlens.session import cut_lineage, remove_dir, scope
 
 T0 = datetime(2013, 1, 1)
@@ -71,3 +72,24 @@ def test_requests_for_no_step_get_no_rows(spark):
     origin = F.lit(T0 + timedelta(days=365)).cast("timestamp_ntz")
     rows = resample.mirror_future(history, requests, origin, Series(("ClientID",), "Date", 3600)).collect()
     assert sorted((r["request_id"], r["x"]) for r in rows) == [(1, 0.0), (1, 1.0)]
+
+
+def test_raw_files_become_a_feature_table(spark, tmp_path):
+    hours = [T0 + timedelta(hours=i) for i in range(24 * 16)]
+    lines = [";MT_001;MT_002;MT_003"]
+    for i, t in enumerate(hours):
+        lines.append(f"{t:%Y-%m-%d %H:%M:%S};" + ";".join(f"{c + (i * (c + 1)) % 24 / 10:.1f}".replace(".", ",") for c in (1, 2, 3)))
+    (tmp_path / "raw.csv").write_text("\n".join(lines))
+    reply = {"station": "Lisbon", "hourly": {"time": [f"{t:%Y-%m-%dT%H:%M}" for t in hours], "temperature_2m": [10.0 + i % 9 for i in range(len(hours))]}}
+    (tmp_path / "weather.json").write_text(json.dumps(reply))
+    out = str(tmp_path / "features")
+    table = build.run_process_data(
+        spark, str(tmp_path / "raw.csv"), str(tmp_path / "weather.json"), F.lit(T0 + timedelta(days=12)).cast("timestamp_ntz"), out,
+        s=Series(("ClientID",), "Date", 3600), names={1: "Lag_1h", 24: "Lag_24h", 168: "Lag_1week"},
+        day=24, rolling=4, baseline=240, baseline_least=24, k=2, starts=2)
+    rows = {(r["ClientID"], r["Date"]): r for r in table.collect()}
+    # A week goes to the longest lag.
+    assert len(rows) == 3 * (len(hours) - 168)
+    row = rows["MT_002", hours[200]]
+    assert row["Consumption"] == pytest.approx(2 + (200 * 3) % 24 / 10, abs=1e-6) and row["HDH"] == pytest.approx(8.0 - 200 % 9, abs=1e-6)
+    assert row["Lag_1week"] == pytest.approx(2 + (32 * 3) % 24 / 10, abs=1e-6) and row["Consumer_Category"] in ("Light", "Medium", "Heavy")
