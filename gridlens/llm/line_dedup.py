@@ -4,225 +4,175 @@ A line is the set of its five-word shingles. Tokens are ordered by rarity, and l
 the threshold share a token in their prefixes under that order. Length and positional filters
 thin the pairs, and the rest is compared set by set. A line goes if any earlier line matches it.
 
-Rarity is taken twice. A first, rough order (how common a token's first word is) finds the lines that share
-anything. Among these the tokens are counted exactly, and prefixes are cut again under that order: variants of
-one line then begin with what is their own, and no longer meet in what all of them share.
+Equal lines are one line from the start: only their earliest place goes on. Rarity needs counts of tokens, and
+most lines share nothing with any other. So a first prefix, under the order of the hashes, finds the lines that
+share anything; among these the tokens are counted exactly, and prefixes are cut again with the rarest first.
+Variants of one line then begin with what is their own, and no longer meet in what all of them share.
 
 Pairs are first formed with the earliest line of each shared token only. That settles nearly all lines of
-a large group; only those it does not settle are paired with all others of their tokens.
+a large group; only those it does not settle are paired with all others of their tokens that the filters allow.
 
-Words are cut and hashed in Arrow batches: as DataFrame functions this took three times the CPU
-time that is allowed (see the README). All joins, counts and filters are DataFrame operations.
+All steps are DataFrame functions.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridlens.llm.arrow import list_array
-from gridlens.llm.common import clear_of, join_same, small_or_shuffled, text_of
-from gridlens.llm.shingles import SLICE, WORDS, Hasher, fingerprint, shingled, short_shingle
+from gridlens.llm.common import WHITE, clear_of, join_same, let, small_or_shuffled, text_of
 from gridlens.session import cut_lineage
 
-#: Hash classes in which words are counted; a token is as rare as the class of its first word.
-CLASSES = 1 << 16
-#: Bits of a token that hold its rarity, in half powers of two.
-LEVEL_BITS = 6
+WORDS = 5
 OUTPUTS = ["n_lines", "removed"]
+PLACE = ["doc_id", "crc", "pos"]
+#: Hash classes of the common tokens that a line's marks tell apart, in longs of 64 bits.
+MARKS = 4
 
 
-def _line_words(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """A few megabytes of texts at a time: number of the first one, line counts, and the word hashes
-    and line bounds of all their lines."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    upto = np.concatenate([[0], np.cumsum(size)])
-    at = 0
-    while at < len(column):
-        end = min(len(column), max(at + 1, int(np.searchsorted(upto, upto[at] + 4 * SLICE, side="right")) - 1))
-        lines = pc.split_pattern(pc.fill_null(column.slice(at, end - at), ""), "\n")
-        counts = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
-        flat = pc.list_flatten(lines)
-        lengths = pc.binary_length(flat).to_numpy(zero_copy_only=False)
-        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        data = np.frombuffer(b"".join(b.as_buffer() for b in flat.cast(pa.binary())), np.uint8)
-        words, places = hasher.words(data, np.unique(bounds[:-1][bounds[:-1] < bounds[-1]]))
-        yield at, counts, words, np.searchsorted(places, bounds)
-        at = end
-
-
-def rarity_levels(docs: DataFrame) -> np.ndarray:
-    """For each hash class how common its words are, over all texts. A task sends its sums once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = Hasher(), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            for _, _, words, _ in _line_words(batch.column("text"), hasher):
-                total += np.bincount((words % CLASSES).astype(np.int64), minlength=CLASSES)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["class", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
-    levels = np.zeros(CLASSES, np.int64)
-    for row in counts.collect():  # CLASSES rows at most
-        levels[row["class"]] = min(2**LEVEL_BITS - 1, int(2 * math.log2(row["n"])))
-    return levels
-
-
-def _lines(docs: DataFrame, levels: np.ndarray, percent: int, whole: bool) -> DataFrame:
-    """One row a line with words: doc_id, crc, pos, key of its token set, token count n, and the
-    sorted tokens: all, or those of the prefix. A token has its rarity in the upper bits."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            text = batch.column("text")
-            for at, counts, words, upto in _line_words(text, hasher):
-                owner = at + np.repeat(np.arange(len(counts)), counts)
-                pos = np.concatenate([np.arange(c) for c in counts]) if len(counts) else owner
-                level = levels[(words % CLASSES).astype(np.int64)] << (63 - LEVEL_BITS)
-                rows, keys, sizes, tokens = [], [], [], []
-                crcs = {i: zlib.crc32((text[int(i)].as_py() or "").encode()) for i in np.unique(owner)}
-                shingles = (shingled(words) >> np.uint64(LEVEL_BITS + 1)).astype(np.int64)
-                for i in np.flatnonzero(upto[1:] > upto[:-1]).tolist():
-                    a, b = upto[i], upto[i + 1]
-                    if b - a >= WORDS:
-                        own = np.sort(level[a:b - WORDS + 1] | shingles[a:b - WORDS + 1])
-                        own = own[np.append(True, own[1:] != own[:-1])]
-                    else:
-                        own = level[a:a + 1] | (short_shingle(words[a:b]) >> np.uint64(LEVEL_BITS + 1)).astype(np.int64)
-                    rows.append(i)
-                    keys.append(fingerprint(own))
-                    sizes.append(len(own))
-                    tokens.append(own if whole else own[:len(own) - -(-percent * len(own) // 100) + 1])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(owner[rows])), pa.array([crcs[i] for i in owner[rows]], pa.int64()),
-                     pa.array(pos[rows].astype(np.int32)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()),
-                     list_array(tokens, pa.int64())],
-                    names=["doc_id", "crc", "pos", "key", "n", "tokens"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, crc long, pos int, key long, n int, tokens array<long>"
-    )
+def _lower(line: Column) -> Column:
+    """A to Z as a to z, all other letters as they are."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = F.length(line) == F.octet_length(line)
+    return F.when(plain, F.lower(line)).otherwise(F.translate(line, letters, letters.lower()))
 
 
-def _close(x: str, y: str, percent: int) -> Column:
-    """Length and positional filters for lines that share the token at places ``i`` (from 0) of both."""
-    nx, ny, ix, iy, ax, ay = (F.col(f"{s}.{c}") for c in ("n", "i", "alone") for s in (x, y))
-    # Tokens of one line alone come first and are not common. So at most i - alone tokens are
-    # common before this one, and the shorter rest from it on.
-    needed = F.ceil((nx + ny) * percent / (100 + percent))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ix, ny - iy) + F.least(ix - ax, iy - ay) >= needed)
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, crc, pos, key and lower-cased text of each line with words."""
+    lines = docs.select(
+        "doc_id", F.crc32(text_of().cast("binary")).alias("crc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")
+    ).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    return lines.select(*PLACE, F.xxhash64(_lower(F.col("raw"))).alias("key"), _lower(F.col("raw")).alias("line"))
 
 
-def _of_two_lines(sent: DataFrame) -> DataFrame:
-    """Each (token, key, n, i) once, where the token occurs in two different lines or more.
+def _tokens(line: Column) -> Column:
+    """Distinct hashes of the runs of WORDS words; a shorter line is one run."""
+    blank = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, WHITE, " ")).otherwise(line)
 
-    Rows come sorted by token and key; a row stays if one beside it has its token, so only the
-    last row of a batch is ever held.
-    """
-    names = ["token", "key", "n", "i"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, joined = None, False
-        for batch in batches:
-            rows = batch.select(names)
-            if held is not None:
-                rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
-            if not rows.num_rows:
-                continue
-            t, k = rows.column("token").to_numpy(), rows.column("key").to_numpy()
-            new = np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))
-            rows, t = rows.filter(pa.array(new)), t[new]
-            same = t[1:] == t[:-1]
-            keep = np.append(same, False) | np.append(joined and held is not None, same)
-            joined = bool(keep[-1])
-            held = rows.slice(len(t) - 1)
-            yield rows.slice(0, len(t) - 1).filter(pa.array(keep[:-1]))
-        if held is not None and joined:
-            yield held
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - WORDS)
+        many = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WORDS)]))
+        return F.when(F.size(words) >= WORDS, F.array_distinct(many)).otherwise(F.array(F.xxhash64(words, F.size(words))))
 
-    return (
-        sent.select(*names).repartition("token").sortWithinPartitions("token", "key")
-        .mapInArrow(run, "token long, key long, n int, i int")
-    )
+    hashed = F.transform(F.array_remove(F.split(blank, " "), ""), lambda w: F.xxhash64(w))
+    return let(hashed, runs)
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The later lines (x) of pairs whose sets reach the threshold."""
-    both = (
-        pairs.join(sets.withColumnsRenamed({"key": "x", "tokens": "tx"}), "x")
-        .join(sets.withColumnsRenamed({"key": "y", "tokens": "ty"}), "y")
-    )
-    common = F.size(F.array_intersect("tx", "ty"))
-    return both.where(100 * common >= percent * (F.size("tx") + F.size("ty") - common)).select(F.col("x").alias("key")).distinct()
+def _prefix_size(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / 100).cast("int") + 1
+
+
+def _first_places(docs: DataFrame, percent: int) -> DataFrame:
+    """key, place of its earliest line, and the line's prefix under the order of the hashes (upper 32 bits of each)."""
+    def prefix(tokens: Column) -> Column:
+        first = F.slice(F.sort_array(tokens), F.lit(1), _prefix_size(F.size(tokens), percent))
+        return F.transform(first, lambda t: F.shiftright(t, 32).cast("int"))
+
+    lines = _lines(docs).select("key", F.struct(*PLACE, let(_tokens(F.col("line")), prefix).alias("prefix")).alias("at"))
+    least = lines.groupBy("key").agg(F.min("at").alias("at"))
+    return cut_lineage(least.select("key", F.struct(*[f"at.{c}" for c in PLACE]).alias("place"), "at.prefix"))
+
+
+def _sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """key, place and all tokens of the lines that share a token of their prefixes with another line."""
+    sent = firsts.select("key", "place", F.explode("prefix").alias("token"))
+    shared = sent.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token")
+    some = sent.join(small_or_shuffled(cut_lineage(shared), 1_000_000), "token", "left_semi")
+    keys = cut_lineage(some.select("key", "place").distinct())
+    places = small_or_shuffled(keys.select(*[F.col(f"place.{c}").alias(c) for c in PLACE]), 1_000_000)
+    found = join_same(_lines(docs), places, PLACE, "left_semi").dropDuplicates(["key"])
+    return cut_lineage(found.select("key", F.struct(*PLACE).alias("place"), _tokens(F.col("line")).alias("tokens")))
 
 
 def _first_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, n, alone, i, token): the prefix of each line under the order by the number of lines that hold a token.
+    """(token, at): the prefix of each line under the order by the number of lines that hold a token.
 
-    Tokens of one line come first in that order, and are only counted (``alone``): they can give no pair.
+    ``at`` has place, key, n, the token's place i, the number of tokens of this line alone, and marks of the
+    others. Tokens of one line come first in that order, and are only counted: they can give no pair.
     """
-    tokens = sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    tokens = sets.select("key", "place", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    common = tokens.join(small_or_shuffled(cut_lineage(counts), 1_000_000), "token").groupBy("key", "n").agg(
-        F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("common")  # tokens of one line
+    one, part, bit = F.lit(1).cast("long"), F.pmod("token", F.lit(MARKS)), F.pmod(F.shiftright("token", 8), F.lit(64)).cast("int")
+    common = tokens.join(small_or_shuffled(cut_lineage(counts), 1_000_000), "token").groupBy("key", "place", "n").agg(
+        F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("common"),  # tokens of one line
+        *[F.bit_or(F.when(part == m, F.call_function("shiftleft", one, bit)).otherwise(one - one)).alias(f"marks{m}")
+          for m in range(MARKS)],
     )
     alone = F.col("n") - F.size("common")
-    left = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
+    left = _prefix_size(F.col("n"), percent) - alone
+    marks = [f"marks{m}" for m in range(MARKS)]
     return (
         common.withColumns({"alone": alone, "left": left}).where("left > 0")
-        .select("key", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("left"))).alias("at", "of"))
-        .select("key", "n", "alone", (F.col("alone") + F.col("at")).alias("i"), F.col("of.token").alias("token"))
+        .select("key", "place", "n", "alone", *marks, F.posexplode(F.slice("common", F.lit(1), F.col("left"))).alias("j", "of"))
+        .select(F.col("of.token").alias("token"), F.struct("place", "key", "n", (F.col("alone") + F.col("j")).alias("i"), "alone", *marks).alias("at"))
+    )
+
+
+def _most(at: str, percent: int) -> Column:
+    """The most tokens a match of this line can have, as its tokens alone are not common."""
+    n, alone = F.col(f"{at}.n"), F.col(f"{at}.alone")
+    return F.floor((n - alone) * (100 + percent) / percent + 1e-6) - n
+
+
+def _close(x: str, y: str, percent: int) -> Column:
+    """Length, positional and mark filters for lines that share the token at places ``i`` (from 0) of both."""
+    nx, ny, ix, iy, ax, ay = (F.col(f"{s}.{c}") for c in ("n", "i", "alone") for s in (x, y))
+    # Tokens of one line alone come first and are not common. So at most i - alone tokens are
+    # common before this one, and the shorter rest from it on.
+    needed = F.ceil((nx + ny) * percent / (100 + percent) - 1e-6)
+    unlike = ax + ay
+    for m in range(MARKS):
+        unlike = unlike + F.bit_count(F.col(f"{x}.marks{m}").bitwiseXOR(F.col(f"{y}.marks{m}")))
+    return (
+        (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+        & (F.least(nx - ix, ny - iy) + F.least(ix - ax, iy - ay) >= needed) & (unlike <= nx + ny - 2 * needed)
     )
 
 
-def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, crc, pos) of every line that an earlier line matches."""
-    levels = rarity_levels(docs)
-    lines = cut_lineage(_lines(docs, levels, percent, whole=False).withColumnRenamed("tokens", "prefix"))
-    place = F.struct("doc_id", "crc", "pos")
-    firsts = cut_lineage(lines.groupBy("key").agg(F.min(place).alias("place")))
-
-    # Lines that share a token of their prefixes; their sets are read again from their documents.
-    sent = lines.select("key", "n", F.posexplode("prefix").alias("i", "token"))
-    keys = cut_lineage(_of_two_lines(sent).select("key").distinct().join(firsts, "key").select("key", "place.doc_id"))
-    ids = small_or_shuffled(keys.select("doc_id").distinct(), 1_000_000)
-    found = _lines(join_same(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi"), levels, percent, whole=True)
-    sets = cut_lineage(
-        found.select("key", "tokens").join(small_or_shuffled(keys.select("key"), 1_000_000), "key", "left_semi")
-        .dropDuplicates(["key"])
+def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The later lines (x) of pairs whose sets reach the threshold."""
+    sets = sets.select("key", "tokens")
+    both = (
+        pairs.join(sets.withColumnsRenamed({"key": "x", "tokens": "tx"}), "x")
+        .join(sets.withColumnsRenamed({"key": "y", "tokens": "ty"}), "y")
     )
+    common = F.size(F.array_intersect("tx", "ty"))
+    return both.where(100 * common >= percent * (F.size("tx") + F.size("ty") - common)).select(F.col("x").alias("key")).distinct()
+
 
+def _near_copies(sets: DataFrame, percent: int) -> DataFrame:
+    """Keys of lines that an earlier, different line matches."""
+    first = cut_lineage(_first_tokens(sets, percent))
+    ends = cut_lineage(
+        first.groupBy("token").agg(
+            F.min("at").alias("to"), F.count(F.lit(1)).alias("lines"),
+            F.max(_most("at", percent)).alias("most"), F.min("at.n").alias("least"),
+        ).where("lines > 1")
+    )
+    # A line stays with a token if some line there may be as long as this one's matches are, and the other way round.
     shared = cut_lineage(
-        _first_tokens(sets, percent).join(firsts, "key").select("token", F.struct("place", "key", "n", "i", "alone").alias("at"))
+        first.join(ends, "token").where((F.col("at.n") <= F.col("most")) & (F.col("least") <= _most("at", percent)))
+        .select("token", "at", "to")
     )
-    earliest = shared.groupBy("token").agg(F.min("at").alias("to"))
     near = _close("at", "to", percent)
-    pairs = shared.join(earliest, "token").where((F.col("at.key") != F.col("to.key")) & near)
+    pairs = shared.where((F.col("at.key") != F.col("to.key")) & near)
     pairs = cut_lineage(pairs.select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct())
     settled = cut_lineage(_matched(pairs, sets, percent))
 
-    open_ones = shared.join(settled, F.col("at.key") == settled["key"], "left_anti")
-    others = shared.withColumnRenamed("at", "to")
+    open_ones = shared.drop("to").join(settled, F.col("at.key") == settled["key"], "left_anti")
+    others = shared.select("token", F.col("at").alias("to"))
     rest = cut_lineage(
         open_ones.join(others, "token").where((F.col("to.place") < F.col("at.place")) & near)
         .select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct()
         .join(pairs, ["x", "y"], "left_anti")
     )
-    gone = settled.union(_matched(rest, sets, percent)).withColumn("gone", F.lit(True))
-    return (
-        lines.select("doc_id", "crc", "pos", "key").join(firsts, "key").join(gone, "key", "left")
-        .where(F.col("gone").isNotNull() | ~F.col("place").eqNullSafe(place)).select("doc_id", "crc", "pos")
-    )
+    return settled.union(_matched(rest, sets, percent))
+
+
+def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, crc, pos) of every line with words that no earlier line matches; crc is of the whole text."""
+    firsts = _first_places(docs, percent)
+    gone = _near_copies(_sets(docs, firsts), percent)
+    return firsts.select("key", "place").join(gone, "key", "left_anti").select(*[F.col(f"place.{c}").alias(c) for c in PLACE])
 
 
 def drop_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -237,21 +187,26 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     * Rows that agree in doc_id and text are one document, and are treated alike.
     * Columns named like an output are replaced; no rows give no rows.
 
-    Shingles are compared by 57-bit hashes with their rarity.
+    Lines and shingles are compared by 64-bit hashes.
     """
     base = clear_of(docs, [*OUTPUTS, "crc"])
-    gone = removed_lines(base, percent).distinct().groupBy("doc_id", "crc").agg(
-        F.sort_array(F.collect_list("pos")).alias("removed")  # places in one text
-    )
+    kept = kept_lines(base, percent).groupBy("doc_id", "crc").agg(F.collect_list("pos").alias("_kept"))  # places in one text
+    cut = F.split("text", "\n", -1)
+    worded = F.filter(F.transform(cut, lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
     rows = base.withColumns({
         "crc": F.crc32(text_of().cast("binary")),
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(cut)).cast("long"),
+        "_worded": F.coalesce(worded, F.array().cast("array<int>")),
     })
-    joined = join_same(rows, gone, ["doc_id", "crc"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    kept_here = F.coalesce("_kept", F.array().cast("array<int>"))
+    joined = join_same(rows, kept, ["doc_id", "crc"], "left").withColumn("removed", F.array_except("_worded", kept_here))
+    # One mark a line, so that a text of many lines is gone through once.
+    gaps = F.zip_with("removed", F.concat(F.array(F.lit(-1)), "removed"), lambda r, before: r - before - 1)
+    marks = F.array_join(F.transform(F.filter(gaps, lambda g: g.isNotNull()), lambda g: F.concat(F.repeat(F.lit("0"), g), F.lit("1"))), "")
+    left = F.array_join(F.zip_with(cut, F.split(marks, ""), lambda line, m: F.when(~m.eqNullSafe("1"), line)), "\n")
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(left)
     out = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in base.columns]
-    return joined.select(*out, "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return joined.select(*out, "n_lines", "removed")
 
 
 def without_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
