@@ -4,19 +4,21 @@ A line is the set of its five-word shingles. Tokens are ordered by rarity, and l
 the threshold share a token in their prefixes under that order. Length and positional filters
 thin the pairs, and the rest is compared set by set. A line goes if any earlier line matches it.
 
-Equal lines are one line from the start: only their earliest place goes on. Rarity needs counts of tokens, and
-most lines share nothing with any other. So a first prefix, under the order of the hashes, finds the lines that
-share anything; among these the tokens are counted exactly, and prefixes are cut again with the rarest first.
-Variants of one line then begin with what is their own, and no longer meet in what all of them share.
+Equal lines are one line from the start: only their earliest place goes on. A token is as rare as its first word
+is in all texts (words are counted in classes of their hash); equally rare tokens are ordered by their hash.
 
 Pairs are first formed with the earliest line of each shared token only. That settles nearly all lines of
-a large group; only those it does not settle are paired with all others of their tokens that the filters allow.
+a large group; only those it does not settle are paired with the others of their tokens that the filters allow.
+There a fourth filter helps: marks, one bit for the hash class of each token, of which too many differ between
+lines that cannot match. So variants of one line that share much, but not enough, are not compared set by set.
 
 All steps are DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlens.llm.common import WHITE, clear_of, join_same, let, small_or_shuffled, text_of
@@ -25,15 +27,19 @@ from gridlens.session import cut_lineage
 WORDS = 5
 OUTPUTS = ["n_lines", "removed"]
 PLACE = ["doc_id", "crc", "pos"]
-#: Hash classes of the common tokens that a line's marks tell apart, in longs of 64 bits.
+#: Hash classes in which words are counted.
+CLASSES = 1 << 16
+#: A token's upper bits hold its rarity, in half powers of two; the others its hash.
+LEVEL_BITS = 6
+#: Longs of 64 bits that mark the tokens of a line.
 MARKS = 4
 
 
 def _lower(line: Column) -> Column:
     """A to Z as a to z, all other letters as they are."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    plain = F.length(line) == F.octet_length(line)
-    return F.when(plain, F.lower(line)).otherwise(F.translate(line, letters, letters.lower()))
+    others = (F.length(line) != F.octet_length(line)) & line.rlike(r"[^\x00-\x7F](?<=[\p{IsUppercase}\p{Lt}])")
+    return F.when(others, F.translate(line, letters, letters.lower())).otherwise(F.lower(line))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,96 +47,105 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = docs.select(
         "doc_id", F.crc32(text_of().cast("binary")).alias("crc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")
     ).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
-    return lines.select(*PLACE, F.xxhash64(_lower(F.col("raw"))).alias("key"), _lower(F.col("raw")).alias("line"))
+    lower = lines.select(*PLACE, _lower(F.col("raw")).alias("line"))
+    return lower.select(*PLACE, F.xxhash64("line").alias("key"), "line")
 
 
-def _tokens(line: Column) -> Column:
-    """Distinct hashes of the runs of WORDS words; a shorter line is one run."""
-    blank = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, WHITE, " ")).otherwise(line)
+def _words(line: Column) -> Column:
+    # Nearly all lines have single spaces alone, and are cut without a pattern.
+    odd = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    odd = odd | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, F.array_remove(F.split(line, WHITE), "")).otherwise(F.split(line, " "))
 
-    def runs(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(words) - WORDS)
-        many = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WORDS)]))
-        return F.when(F.size(words) >= WORDS, F.array_distinct(many)).otherwise(F.array(F.xxhash64(words, F.size(words))))
 
-    hashed = F.transform(F.array_remove(F.split(blank, " "), ""), lambda w: F.xxhash64(w))
-    return let(hashed, runs)
+def _class_of(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(CLASSES))
 
 
-def _prefix_size(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100).cast("int") + 1
+def rarity_levels(docs: DataFrame) -> list[int]:
+    """For each hash class how common its words are, over all texts."""
+    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("word"))
+    levels = [1] * CLASSES
+    for row in words.groupBy(_class_of(F.col("word")).alias("class")).count().collect():  # CLASSES rows at most
+        levels[row["class"]] = min(2**LEVEL_BITS - 1, 1 + int(2 * math.log2(row["count"])))
+    return levels
 
 
-def _first_places(docs: DataFrame, percent: int) -> DataFrame:
-    """key, place of its earliest line, and the line's prefix under the order of the hashes (upper 32 bits of each)."""
-    def prefix(tokens: Column) -> Column:
-        first = F.slice(F.sort_array(tokens), F.lit(1), _prefix_size(F.size(tokens), percent))
-        return F.transform(first, lambda t: F.shiftright(t, 32).cast("int"))
+def _tokens(line: Column, levels: list[int] | None = None) -> Column:
+    """Distinct hashes of the runs of WORDS words, a shorter line being one run; with their rarity in front if
+    ``levels`` are given."""
+    # One literal, made before the job starts.
+    table = F.split(F.lit(",".join(map(str, levels or []))), ",").cast("array<long>")
 
-    lines = _lines(docs).select("key", F.struct(*PLACE, let(_tokens(F.col("line")), prefix).alias("prefix")).alias("at"))
-    least = lines.groupBy("key").agg(F.min("at").alias("at"))
-    return cut_lineage(least.select("key", F.struct(*[f"at.{c}" for c in PLACE]).alias("place"), "at.prefix"))
+    def token(first: Column, others: list[Column]) -> Column:
+        hashed = F.xxhash64(first, *others)
+        if levels is None:
+            return hashed
+        level = F.shiftleft(F.get(table, _class_of(first)), 63 - LEVEL_BITS)
+        return level.bitwiseOR(F.shiftrightunsigned(hashed, LEVEL_BITS + 1))
+
+    def runs(words: Column) -> Column:
+        many = F.transform(words, lambda w, i: token(w, [F.get(words, i + k) for k in range(1, WORDS)]))
+        one = F.array(token(F.get(words, F.lit(0)), [F.slice(words, 2, WORDS), F.size(words)]))
+        return F.when(F.size(words) >= WORDS, F.slice(many, F.lit(1), F.size(words) - (WORDS - 1))).otherwise(one)
+
+    return F.array_distinct(let(_words(line), runs))
+
+
+def _first_places(docs: DataFrame, percent: int) -> DataFrame:
+    """key, place of its earliest line, its number n of tokens, and its prefix, the rarest tokens first."""
+    lines = _lines(docs).select("key", *PLACE, _tokens(F.col("line"), rarity_levels(docs)).alias("tokens"))
+    n = F.size("tokens")
+    first = F.slice(F.sort_array("tokens"), F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    least = lines.select("key", F.struct(*PLACE, n.alias("n"), first.alias("prefix")).alias("at")).groupBy("key").agg(F.min("at").alias("at"))
+    return cut_lineage(least.select("key", F.struct(*[f"at.{c}" for c in PLACE]).alias("place"), "at.n", "at.prefix"))
 
 
-def _sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """key, place and all tokens of the lines that share a token of their prefixes with another line."""
-    sent = firsts.select("key", "place", F.explode("prefix").alias("token"))
+def _shared_tokens(firsts: DataFrame) -> DataFrame:
+    """(token, at) for each token in the prefixes of two lines or more; at: place, key, n, place i of the token."""
+    sent = firsts.select(F.posexplode("prefix").alias("i", "token"), "place", "key", "n")
     shared = sent.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token")
     some = sent.join(small_or_shuffled(cut_lineage(shared), 1_000_000), "token", "left_semi")
-    keys = cut_lineage(some.select("key", "place").distinct())
+    return cut_lineage(some.select("token", F.struct("place", "key", "n", "i").alias("at")))
+
+
+def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and all tokens of the lines with these keys and places."""
     places = small_or_shuffled(keys.select(*[F.col(f"place.{c}").alias(c) for c in PLACE]), 1_000_000)
-    found = join_same(_lines(docs), places, PLACE, "left_semi").dropDuplicates(["key"])
-    return cut_lineage(found.select("key", F.struct(*PLACE).alias("place"), _tokens(F.col("line")).alias("tokens")))
+    found = join_same(_lines(docs), places, PLACE, "left_semi")
+    return cut_lineage(found.select("key", _tokens(F.col("line")).alias("tokens")).dropDuplicates(["key"]))
 
 
-def _first_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, at): the prefix of each line under the order by the number of lines that hold a token.
+def _marks(tokens: str) -> list[Column]:
+    def mark(m: int) -> Column:
+        none = F.lit(0).cast("long")
+        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 8).bitwiseAND(63).cast("int"))
+        return F.aggregate(tokens, none, lambda s, t: F.when(F.pmod(t, F.lit(MARKS)) == m, s.bitwiseOR(bit(t))).otherwise(s))
 
-    ``at`` has place, key, n, the token's place i, the number of tokens of this line alone, and marks of the
-    others. Tokens of one line come first in that order, and are only counted: they can give no pair.
-    """
-    tokens = sets.select("key", "place", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    one, part, bit = F.lit(1).cast("long"), F.pmod("token", F.lit(MARKS)), F.pmod(F.shiftright("token", 8), F.lit(64)).cast("int")
-    common = tokens.join(small_or_shuffled(cut_lineage(counts), 1_000_000), "token").groupBy("key", "place", "n").agg(
-        F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("common"),  # tokens of one line
-        *[F.bit_or(F.when(part == m, F.call_function("shiftleft", one, bit)).otherwise(one - one)).alias(f"marks{m}")
-          for m in range(MARKS)],
-    )
-    alone = F.col("n") - F.size("common")
-    left = _prefix_size(F.col("n"), percent) - alone
-    marks = [f"marks{m}" for m in range(MARKS)]
-    return (
-        common.withColumns({"alone": alone, "left": left}).where("left > 0")
-        .select("key", "place", "n", "alone", *marks, F.posexplode(F.slice("common", F.lit(1), F.col("left"))).alias("j", "of"))
-        .select(F.col("of.token").alias("token"), F.struct("place", "key", "n", (F.col("alone") + F.col("j")).alias("i"), "alone", *marks).alias("at"))
-    )
+    return [mark(m).alias(f"marks{m}") for m in range(MARKS)]
 
 
-def _most(at: str, percent: int) -> Column:
-    """The most tokens a match of this line can have, as its tokens alone are not common."""
-    n, alone = F.col(f"{at}.n"), F.col(f"{at}.alone")
-    return F.floor((n - alone) * (100 + percent) / percent + 1e-6) - n
+def _needed(x: str, y: str, percent: int) -> Column:
+    """Common tokens of two lines that reach the threshold."""
+    return F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * percent / (100 + percent) - 1e-6)
 
 
 def _close(x: str, y: str, percent: int) -> Column:
-    """Length, positional and mark filters for lines that share the token at places ``i`` (from 0) of both."""
-    nx, ny, ix, iy, ax, ay = (F.col(f"{s}.{c}") for c in ("n", "i", "alone") for s in (x, y))
-    # Tokens of one line alone come first and are not common. So at most i - alone tokens are
-    # common before this one, and the shorter rest from it on.
-    needed = F.ceil((nx + ny) * percent / (100 + percent) - 1e-6)
-    unlike = ax + ay
-    for m in range(MARKS):
-        unlike = unlike + F.bit_count(F.col(f"{x}.marks{m}").bitwiseXOR(F.col(f"{y}.marks{m}")))
-    return (
-        (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
-        & (F.least(nx - ix, ny - iy) + F.least(ix - ax, iy - ay) >= needed) & (unlike <= nx + ny - 2 * needed)
+    """Length and positional filters for lines that share the token at places ``i`` (from 0) of both."""
+    nx, ny, ix, iy = (F.col(f"{s}.{c}") for c in ("n", "i") for s in (x, y))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (
+        F.least(nx - ix, ny - iy) + F.least(ix, iy) >= _needed(x, y, percent)
     )
 
 
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Marks differ in no more places than sets that reach the threshold can."""
+    unlike = sum((F.bit_count(F.col(f"{x}.marks{m}").bitwiseXOR(F.col(f"{y}.marks{m}"))) for m in range(MARKS)), F.lit(0))
+    return unlike <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * _needed(x, y, percent)
+
+
 def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later lines (x) of pairs whose sets reach the threshold."""
-    sets = sets.select("key", "tokens")
     both = (
         pairs.join(sets.withColumnsRenamed({"key": "x", "tokens": "tx"}), "x")
         .join(sets.withColumnsRenamed({"key": "y", "tokens": "ty"}), "y")
@@ -139,29 +154,24 @@ def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("tx") + F.size("ty") - common)).select(F.col("x").alias("key")).distinct()
 
 
-def _near_copies(sets: DataFrame, percent: int) -> DataFrame:
+def _near_copies(docs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Keys of lines that an earlier, different line matches."""
-    first = cut_lineage(_first_tokens(sets, percent))
-    ends = cut_lineage(
-        first.groupBy("token").agg(
-            F.min("at").alias("to"), F.count(F.lit(1)).alias("lines"),
-            F.max(_most("at", percent)).alias("most"), F.min("at.n").alias("least"),
-        ).where("lines > 1")
-    )
-    # A line stays with a token if some line there may be as long as this one's matches are, and the other way round.
-    shared = cut_lineage(
-        first.join(ends, "token").where((F.col("at.n") <= F.col("most")) & (F.col("least") <= _most("at", percent)))
-        .select("token", "at", "to")
-    )
-    near = _close("at", "to", percent)
-    pairs = shared.where((F.col("at.key") != F.col("to.key")) & near)
-    pairs = cut_lineage(pairs.select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct())
+    ends = shared.groupBy("token").agg(F.min("at").alias("to"), F.count(F.lit(1)).alias("lines"))
+    met = shared.join(ends, "token")
+    close = (F.col("at.key") != F.col("to.key")) & _close("at", "to", percent)
+    keys = cut_lineage(shared.select("at.key", "at.place").distinct())
+    sets = _sets(docs, keys)
+    pairs = cut_lineage(met.where(close).select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct())
     settled = cut_lineage(_matched(pairs, sets, percent))
 
-    open_ones = shared.drop("to").join(settled, F.col("at.key") == settled["key"], "left_anti")
-    others = shared.select("token", F.col("at").alias("to"))
+    # A token of two lines has no further pair.
+    more = met.where("lines > 2").select("token", "at", F.col("at.key").alias("key")).join(sets.select("key", *_marks("tokens")), "key")
+    marked = cut_lineage(more.select("token", F.struct("at.*", *[f"marks{m}" for m in range(MARKS)]).alias("at")))
+    open_ones = marked.join(settled, F.col("at.key") == settled["key"], "left_anti")
+    others = marked.withColumnRenamed("at", "to")
+    near = (F.col("to.place") < F.col("at.place")) & _close("at", "to", percent) & _alike("at", "to", percent)
     rest = cut_lineage(
-        open_ones.join(others, "token").where((F.col("to.place") < F.col("at.place")) & near)
+        open_ones.join(others, "token").where(near)
         .select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct()
         .join(pairs, ["x", "y"], "left_anti")
     )
@@ -171,7 +181,7 @@ def _near_copies(sets: DataFrame, percent: int) -> DataFrame:
 def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, crc, pos) of every line with words that no earlier line matches; crc is of the whole text."""
     firsts = _first_places(docs, percent)
-    gone = _near_copies(_sets(docs, firsts), percent)
+    gone = _near_copies(docs, _shared_tokens(firsts), percent)
     return firsts.select("key", "place").join(gone, "key", "left_anti").select(*[F.col(f"place.{c}").alias(c) for c in PLACE])
 
 
@@ -187,7 +197,7 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     * Rows that agree in doc_id and text are one document, and are treated alike.
     * Columns named like an output are replaced; no rows give no rows.
 
-    Lines and shingles are compared by 64-bit hashes.
+    Lines and shingles are compared by 64-bit hashes (in the prefixes 57 bits beside the rarity).
     """
     base = clear_of(docs, [*OUTPUTS, "crc"])
     kept = kept_lines(base, percent).groupBy("doc_id", "crc").agg(F.collect_list("pos").alias("_kept"))  # places in one text
