@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlens.llm import alignment, bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, prefix_trie, quality_rules, secrets, sharding, token_counts
+from gridlens.llm import alignment, bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, oracles, prefix_trie, quality_rules, secrets, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,4 +111,8 @@ QUERIES = {
     "op12_token_alignment": op12_token_alignment,
     "op13_conversation_trie": op13_conversation_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op13_conversation_trie": prefix_trie.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": oracles.LINE_DEDUP,
+    "op10_ngram_join": oracles.NGRAM_JOIN,
+    "op13_conversation_trie": prefix_trie.SQL,
+}

@@ -148,6 +148,23 @@ def test_line_dedup_is_exact(documents, odd_documents):
                 assert r.text.count("\n") + 1 == max(1, r.n_lines - len(r.removed))
 
 
+def test_lines_of_a_long_text_are_cut_out_in_order(spark):
+    lines = [f"line {i % 700}" if i % 3 else "" for i in range(3_000)]
+    family = [" ".join(f"{'x' if k == j else 'w'}{k}" for k in range(60)) for j in range(0, 60, 6)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "\n".join(family)), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs).collect()}
+    seen, left = set(), []
+    for line in lines:
+        if not line or line not in seen:
+            left.append(line)
+        seen.add(line)
+    assert got[1].text == "\n".join(left) and got[1].n_lines == 3_000
+    assert (got[2].text, got[2].removed, got[4].text, got[4].removed) == (None, [], "", [])
+    sets = [shingles(line) for line in family]
+    assert got[3].removed == [j for j in range(len(sets)) if any(linked(sets[j], s) for s in sets[:j])]
+    assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
+
+
 def test_secrets_keep_fixed_spans(documents, odd_documents):
     assign = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     for docs in (documents, odd_documents):
