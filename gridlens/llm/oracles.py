@@ -1,4 +1,4 @@
-"""SQL texts for operators whose result follows from word shingles alone."""
+"""SQL texts for operators whose result follows from word shingles or cosines alone."""
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _SHINGLES = """CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
@@ -57,3 +57,25 @@ WITH RECURSIVE worded AS (
 SELECT s.doc_id, CAST(len(s.tokens) AS BIGINT) AS n_shingles, CAST(coalesce(c.n_links, 0) AS BIGINT) AS n_links, l.component_id
 FROM sets s LEFT JOIN least_of l ON l.a = s.doc_id LEFT JOIN counted c ON c.a = s.doc_id
 """
+
+EMBEDDING_DEDUP = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), sound AS (
+  SELECT vec_id, v, len(v) AS dim, sqrt(list_inner_product(v, v)) AS size FROM vectors
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.dim = y.dim AND x.vec_id <> y.vec_id
+  WHERE list_inner_product(x.v, y.v) >= 0.9 * x.size * y.size
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least_of AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), counted AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(c.n_links, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least_of l ON l.a = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""

@@ -112,6 +112,7 @@ QUERIES = {
     "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_dedup": oracles.EMBEDDING_DEDUP,
     "op9_line_dedup": oracles.LINE_DEDUP,
     "op10_ngram_join": oracles.NGRAM_JOIN,
     "op13_conversation_trie": prefix_trie.SQL,
