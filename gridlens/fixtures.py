@@ -6,7 +6,7 @@ depend on the order of addition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.dates import calendar_features, flag_holidays, floor_hour
@@ -44,6 +44,14 @@ CLIENT_SQL = (
 )
 
 
+#: About so many grid rows are made by one task.
+TASK_ROWS = 1_000_000
+
+
+def _micros(time: Column | str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp") if isinstance(time, str) else time.cast("timestamp"))
+
+
 def _grid(keys: DataFrame, stamps: DataFrame, step: int) -> DataFrame:
     """Each key at every step from the oldest to the newest stamp, generated per key."""
     lo, hi = stamps.agg(F.min("Date")).scalar(), stamps.agg(F.max("Date")).scalar()
@@ -51,10 +59,44 @@ def _grid(keys: DataFrame, stamps: DataFrame, step: int) -> DataFrame:
     return keys.withColumn("Date", steps)
 
 
+def _filled(sums: DataFrame, step: int, lo: int | None, hi: int | None, keys: int) -> DataFrame:
+    """Sums of (ClientID, Date) on a grid, with rows of 0 for the steps between ``lo`` and ``hi`` without one.
+
+    A row knows the stamps beside it and generates the empty steps up to the next one (a client's first
+    row also those before it), so only the sums are shuffled. They are dealt by client to a number of
+    tasks that follows from the rows to be made: sums are few, and tasks cut by their size alone would
+    each make a large part of the grid. A client's sums are at most one a step. Sums without a stamp stay.
+    """
+    width = step * 1_000_000
+    grid = keys * ((hi - lo) // width + 1) if lo is not None else 0
+    spread = min(sums.sparkSession.sparkContext.defaultParallelism, grid // 50_000)
+    order = Window.partitionBy("ClientID").orderBy("_at")
+    nothing = F.array().cast("array<bigint>")
+    steps = (lambda a, b: nothing) if lo is None else (lambda a, b: F.sequence(a, b, F.lit(width)))
+    first, last = F.lit(lo).cast("long"), F.lit(hi).cast("long")
+    begin = F.when(F.lag("_at").over(order).isNull(), first).otherwise(F.col("_at"))
+    following = F.lead("_at").over(order)
+    made = F.when(F.col("_at").isNotNull(), steps(F.col("_begin"), F.coalesce(F.col("_next") - width, last)))
+    alone = F.when(F.col("_next").isNull(), steps(first, last)).otherwise(nothing)
+    made = made.otherwise(F.concat(F.array(F.lit(None).cast("long")), alone))
+    known = F.when(F.col("_step") == F.col("_at"), F.coalesce("Consumption", F.lit(0.0)))
+    return (
+        sums.withColumn("_at", _micros("Date"))
+        .repartition(max(1, spread, -(-grid // TASK_ROWS)), "ClientID")
+        .withColumns({"_begin": begin, "_next": following, "Cluster": F.first("Cluster", True).over(order)})
+        .withColumn("_step", F.explode(made))
+        .withColumns({
+            "Date": F.timestamp_micros("_step").cast("timestamp_ntz"),
+            "Consumption": F.when(F.col("_step").isNull(), F.col("Consumption")).otherwise(F.coalesce(known, F.lit(0.0))),
+        })
+        .select("ClientID", "Cluster", "Date", "Consumption")
+    )
+
+
 def daily_meter(spark: SparkSession, d: str, cluster: bool = True) -> DataFrame:
     """Suppliers × all days; pieces sold per day. Cluster = nation of the supplier.
 
-    Grid rows of 0 and sales rows are added up together, so the grid needs no join.
+    A row of 0 at the oldest day stands for each supplier, so the grid needs no join.
     """
     suppliers = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("Cluster")
@@ -63,13 +105,17 @@ def daily_meter(spark: SparkSession, d: str, cluster: bool = True) -> DataFrame:
         F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("Date"),
         F.col("l_quantity").alias("Consumption"),
     )
-    grid = _grid(suppliers, sales, DAY).withColumn("Consumption", F.lit(0.0))
-    both = grid.unionByName(sales, allowMissingColumns=True)
-    # A sale of a key that is no supplier has no nation and would not be in the grid.
-    summed = both.groupBy("k", "Date").agg(
+    lo, hi = sales.agg(F.min(_micros("Date")), F.max(_micros("Date"))).first()
+    oldest = F.timestamp_micros(F.lit(lo).cast("long")).cast("timestamp_ntz")
+    seeds = suppliers.withColumns({"Date": oldest, "Consumption": F.lit(0.0)})
+    both = seeds.unionByName(sales, allowMissingColumns=True)
+    # Only days of the grid count.
+    summed = both.filter((_micros("Date") - F.lit(lo).cast("long")) % (DAY * 1_000_000) == 0).groupBy("k", "Date").agg(
         F.max("Cluster").alias("Cluster"), F.sum("Consumption").alias("Consumption")
-    ).filter(F.col("Cluster").isNotNull())
-    out = summed.select(client_name(F.col("k")).alias("ClientID"), "Cluster", "Date", "Consumption")
+    )
+    named = summed.select(client_name(F.col("k")).alias("ClientID"), "Cluster", "Date", "Consumption")
+    # A sale of a key that is no supplier has no nation and is not in the grid.
+    out = _filled(named, DAY, lo, hi, suppliers.count()).filter(F.col("Cluster").isNotNull())
     return out if cluster else out.drop("Cluster")
 
 
@@ -89,15 +135,17 @@ def _event_meter(spark: SparkSession, d: str, step: int, filled: bool = True) ->
         F.col("user_id").alias("k"), floor_step("ts", step).alias("Date"),
         F.round(F.col("value") * 100).alias("Consumption"),
     )
-    rows = events
-    if filled:
-        users = events.select("k").distinct()
-        rows = _grid(users, events, step).withColumn("Consumption", F.lit(0.0)).unionByName(events)
-    summed = rows.groupBy("k", "Date").agg(F.sum("Consumption").alias("Consumption"))
-    return summed.select(
+    summed = events.groupBy("k", "Date").agg(F.sum("Consumption").alias("Consumption"))
+    rows = summed.select(
         client_name(F.col("k")).alias("ClientID"), (F.col("k") % 5).cast("int").alias("Cluster"),
         "Date", "Consumption",
     )
+    if not filled:
+        return rows
+    lo, hi, users = events.agg(
+        F.min(_micros("Date")), F.max(_micros("Date")), F.approx_count_distinct("k")
+    ).first()
+    return _filled(rows, step, lo, hi, users)
 
 
 def hourly_meter(spark: SparkSession, d: str) -> DataFrame:
