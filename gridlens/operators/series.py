@@ -147,12 +147,10 @@ def blocks(
     else:
         placed = without_place_helpers(numbered(df, s))
     home = F.floor(F.col("_pos") / F.lit(size))
-    after = F.col("_pos") >= (home + 1) * size - behind
-    before = F.col("_pos") < home * size + ahead
-    targets = F.array_compact(
-        F.array(home, F.when(after, home + 1), F.when(before & (home > 0), home - 1))
-    )
-    spread = placed.withColumn("_block", F.explode(targets))
+    after = F.when(F.col("_pos") >= (home + 1) * size - behind, 1).otherwise(0)
+    before = F.when((F.col("_pos") < home * size + ahead) & (home > 0), 1).otherwise(0)
+    # The blocks of a row lie side by side. A sequence is compiled; filters of arrays are not.
+    spread = placed.withColumn("_block", F.explode(F.sequence(home - before, home + after)))
     return spread.withColumn(
         "_core", F.col("_block") == F.floor(F.col("_pos") / F.lit(size))
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlens import fixtures as fx
-from gridlens.operators import features
+from gridlens.operators import features, series
 
 START = datetime(2000, 1, 1)
 
@@ -83,3 +83,19 @@ def test_grid_is_made_by_many_tasks_behind_the_last_shuffle(spark, tables, monke
     for df in (meter, features.add_lags(meter, series, {7: "lag"}, regular=True)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan[:plan.rindex("Generate")]
+
+
+def test_block_spread_is_compiled(spark):
+    """Filters of arrays are evaluated row by row outside of generated code."""
+    df = spark.range(100).select(F.lit("a").alias("ClientID"), F.timestamp_seconds(F.col("id") * fx.DAY).cast("timestamp_ntz").alias("Date"))
+    spread = series.blocks(df, fx.DAILY, behind=3, ahead=2, regular=True, block_rows=10)
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    found = {(r["_pos"], r["_block"], r["_core"]) for r in spread.collect()}
+    want = {(p, b, b == p // 10) for p in range(100) for b in range(11) if 10 * b - 3 <= p < 10 * (b + 1) + 2}
+    assert found == want
+    assert spread.count() == len(want)
+
+
+def test_wide_stages_are_split_into_methods_that_are_compiled(spark):
+    assert int(fx.configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
