@@ -22,6 +22,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles a method of more than 8,000 bytes. A stage that makes one (dozens of
+    # one-hot columns, say) runs far faster as split methods than as one interpreted one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
