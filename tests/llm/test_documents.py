@@ -95,6 +95,16 @@ def test_rules_find_planted_quality(spark):
     assert quality_rules.learn_from_labels(docs, labels.limit(0)) == []
 
 
+def test_statistics_are_taken_of_labelled_documents_alone(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("docs", "labels"))
+    some = quality_rules.labelled_statistics(docs, labels)
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner")
+    assert "lambda" in above and "lambda" not in below and some.count() == 2
+
+
 def classes(rows):
     sets = {r.doc_id: shingles(r.text) for r in rows}
     root = {i: i for i in sets}
