@@ -9,7 +9,9 @@ is in all texts (words are counted in classes of their hash); equally rare token
 
 Pairs are first formed with the earliest line of each shared token only. That settles nearly all lines of
 a large group; only those it does not settle are paired with the others of their tokens that the filters allow.
-There a fourth filter helps: marks, one bit for the hash class of each token, of which too many differ between
+There a pair is formed at its first shared token only, or nearly so: no more tokens than follow can be common, and
+tokens with the same one before them on both sides are left to that one. So lines that share a whole run of rare tokens
+meet once and not at each. Marks help too, one bit for the hash class of each token, of which too many differ between
 lines that cannot match. So variants of one line that share much, but not enough, are not compared set by set.
 
 All steps are DataFrame functions.
@@ -102,11 +104,13 @@ def _first_places(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_tokens(firsts: DataFrame) -> DataFrame:
-    """(token, at) for each token in the prefixes of two lines or more; at: place, key, n, place i of the token."""
-    sent = firsts.select(F.posexplode("prefix").alias("i", "token"), "place", "key", "n")
+    """(token, at) for each token in the prefixes of two lines or more; at: place, key, n, place i of the token, and
+    the token before it in the prefix (null for the first)."""
+    sent = firsts.select(F.posexplode("prefix").alias("i", "token"), "place", "key", "n", "prefix")
+    sent = sent.select("i", "token", "place", "key", "n", F.get("prefix", F.col("i") - 1).alias("before"))
     shared = sent.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token")
     some = sent.join(small_or_shuffled(cut_lineage(shared), 1_000_000), "token", "left_semi")
-    return cut_lineage(some.select("token", F.struct("place", "key", "n", "i").alias("at")))
+    return cut_lineage(some.select("token", F.struct("place", "key", "n", "i", "before").alias("at")))
 
 
 def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -138,6 +142,16 @@ def _close(x: str, y: str, percent: int) -> Column:
     )
 
 
+def _first_shared(x: str, y: str, percent: int) -> Column:
+    """False for tokens at places ``i`` that are not the first shared one of two lines that reach the threshold.
+
+    At their first shared token, no more than the tokens from there on can be common, and the tokens before it differ.
+    """
+    nx, ny, ix, iy = (F.col(f"{s}.{c}") for c in ("n", "i") for s in (x, y))
+    earlier = F.coalesce(F.col(f"{x}.before") == F.col(f"{y}.before"), F.lit(False))
+    return (F.least(nx - ix, ny - iy) >= _needed(x, y, percent)) & ~earlier
+
+
 def _alike(x: str, y: str, percent: int) -> Column:
     """Marks differ in no more places than sets that reach the threshold can."""
     unlike = sum((F.bit_count(F.col(f"{x}.marks{m}").bitwiseXOR(F.col(f"{y}.marks{m}"))) for m in range(MARKS)), F.lit(0))
@@ -169,7 +183,8 @@ def _near_copies(docs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     marked = cut_lineage(more.select("token", F.struct("at.*", *[f"marks{m}" for m in range(MARKS)]).alias("at")))
     open_ones = marked.join(settled, F.col("at.key") == settled["key"], "left_anti")
     others = marked.withColumnRenamed("at", "to")
-    near = (F.col("to.place") < F.col("at.place")) & _close("at", "to", percent) & _alike("at", "to", percent)
+    near = (F.col("to.place") < F.col("at.place")) & _close("at", "to", percent)
+    near = near & _first_shared("at", "to", percent) & _alike("at", "to", percent)
     rest = cut_lineage(
         open_ones.join(others, "token").where(near)
         .select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct()

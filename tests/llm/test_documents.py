@@ -175,6 +175,20 @@ def test_lines_of_a_long_text_are_cut_out_in_order(spark):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_variants_of_a_line_meet_at_their_first_shared_token(spark):
+    lines = [" ".join(f"{'x' * (1 + j // 20) if k == 3 * (j % 20) else 'w'}{k}" for k in range(60)) for j in range(40)]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    shared = line_dedup._shared_tokens(line_dedup._first_places(docs, 80))
+    both = shared.join(shared.withColumnRenamed("at", "to"), "token").where(F.col("to.place") < F.col("at.place"))
+    close = both.where(line_dedup._close("at", "to", 80))
+    met = close.where(line_dedup._first_shared("at", "to", 80)).select("at.place.doc_id", F.col("to.place.doc_id").alias("other"))
+    sets = [shingles(line) for line in lines]
+    found = Counter(map(tuple, met.collect()))
+    wanted = {(x, y) for x in range(len(sets)) for y in range(x) if sets[x] != sets[y] and linked(sets[x], sets[y])}
+    assert wanted and wanted <= set(found)
+    assert 3 * sum(found.values()) < close.count()
+
+
 def test_secrets_keep_fixed_spans(documents, odd_documents):
     assign = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     for docs in (documents, odd_documents):
