@@ -144,8 +144,9 @@ class Aligner:
     def __init__(self, vocabulary: Vocabulary, model: bytes) -> None:
         self.a, self.b = WordCoder(vocabulary), Pieces(model)
         self.size = max(self.a.size, self.b.size)
-        #: An id followed by a comma, a bar, a semicolon or nothing.
-        self.written = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.size)]
+        #: An id followed by a comma, a bar, a semicolon or nothing; as bytes of one width, filled up with zeros.
+        self.written = np.array([f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.size)], "S")
+        self.widths = np.char.str_len(self.written).astype(np.int64)
 
     def align_many(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """For each text: tokens of A, of B, groups, the groups written, and a key for each link."""
@@ -158,12 +159,18 @@ class Aligner:
         raw_b = gather(self.b.bytes, self.b.starts[flat_b], bytes_b)
         # Texts whose tokens stand for other bytes, and empty ones, take no part.
         till_a, till_b = (np.append(0, np.cumsum(x))[e] for x, e in ((bytes_a, ends_a), (bytes_b, ends_b)))
-        kept = np.zeros(len(texts), bool)
-        from_a = from_b = 0
-        for n, (text, to_a, to_b) in enumerate(zip(spaced, till_a.tolist(), till_b.tolist())):
-            raw = text.encode()
-            kept[n] = len(raw) > 1 and raw == raw_a[from_a:to_a].tobytes() == raw_b[from_b:to_b].tobytes()
-            from_a, from_b = to_a, to_b
+        raw = [text.encode() for text in spaced]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = np.frombuffer(b"".join(raw), np.uint8)
+        till = np.cumsum(sizes)
+        if all(np.array_equal(till, t) and np.array_equal(whole, r) for t, r in ((till_a, raw_a), (till_b, raw_b))):
+            kept = sizes > 1
+        else:
+            kept = np.zeros(len(texts), bool)
+            from_a = from_b = 0
+            for n, (one, to_a, to_b) in enumerate(zip(raw, till_a.tolist(), till_b.tolist())):
+                kept[n] = len(one) > 1 and one == raw_a[from_a:to_a].tobytes() == raw_b[from_b:to_b].tobytes()
+                from_a, from_b = to_a, to_b
         sizes_a, sizes_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
         in_a, in_b = np.repeat(kept, sizes_a), np.repeat(kept, sizes_b)
         a, b = flat_a[in_a].astype(np.int64), flat_b[in_b]
@@ -177,11 +184,14 @@ class Aligner:
         until_a, until_b = np.cumsum(counts_a), np.cumsum(counts_b)
         until_group = np.searchsorted(found.first_a, until_a)
         until_link = np.searchsorted(left, until_a)
-        written = self._written(a, b, found, until_group).tolist()
-        done = (0, 0, 0, 0)
-        for to in zip(until_a.tolist(), until_b.tolist(), until_group.tolist(), until_link.tolist()):
-            text = "".join(map(self.written.__getitem__, written[done[0] + done[1]:to[0] + to[1]]))
-            yield to[0] - done[0], to[1] - done[1], to[2] - done[2], text, links[done[3]:to[3]]
+        written = self._written(a, b, found, until_group)
+        until_letter = np.append(0, np.cumsum(self.widths[written]))[until_a + until_b]
+        letters = self.written[written].view(np.uint8)
+        letters = letters[letters != 0].tobytes().decode()
+        done = (0, 0, 0, 0, 0)
+        ends = (until_a, until_b, until_group, until_link, until_letter)
+        for to in zip(*(x.tolist() for x in ends)):
+            yield to[0] - done[0], to[1] - done[1], to[2] - done[2], letters[done[4]:to[4]], links[done[3]:to[3]]
             done = to
 
     def _written(self, a: np.ndarray, b: np.ndarray, found: Aligned, until_group: np.ndarray) -> np.ndarray:

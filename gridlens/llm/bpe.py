@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -115,10 +115,14 @@ class Coder:
             self.forget()
         if len(self.known) > 20 * CACHED_WORDS:
             self.known, self.sound = np.empty(0, np.int64), np.empty(0, bool)
-        self.learn(list(set(chain.from_iterable(cuts)).difference(self.number)))
         per_text = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        numbers = map(self.number.__getitem__, chain.from_iterable(cuts))
-        places = np.fromiter(numbers, np.int64, int(per_text.sum()))
+        words = list(chain.from_iterable(cuts))
+        places = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            self.learn(list(set(new)))
+            places[missing] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
         lengths = self.lengths[places]
         ends = np.append(0, np.cumsum(lengths))[np.cumsum(per_text)]
         return gather(self.flat, self.starts[places], lengths), ends

@@ -142,12 +142,13 @@ class Cutter:
     def __init__(self, vocabulary: Vocabulary, special: bool = True) -> None:
         self.json, self.fine, self.unsure = vocabulary.json, vocabulary.fine, vocabulary.unsure
         self.pattern, self.quick = regex.compile(PATTERN), re.compile(QUICK)
+        self.ascii_quick = self.fine.isdisjoint(map(chr, range(128)))
         self._library = None
         names = sorted(vocabulary.special, key=len, reverse=True) if special else []
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def _plain(self, text: str) -> list[str]:
-        if self.fine.isdisjoint(text):
+        if text.isascii() and self.ascii_quick or self.fine.isdisjoint(text):
             return self.quick.findall(text)
         if self.unsure.isdisjoint(text):
             return self.pattern.findall(text)

@@ -143,6 +143,19 @@ def test_alignment_of_documents_with_and_without_broadcast(documents, monkeypatc
     check_alignment(documents.where("doc_id < 60 and length(text) < 4000").withColumnRenamed("doc_id", "key"))
 
 
+def test_alignment_does_not_depend_on_the_other_texts():
+    with open(queries.tokenizer_path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    aligner = alignment.Aligner(alignment.Vocabulary(queries.tokenizer_path()), model)
+    texts = ["word after word", "café ñandú 🎉 word", "", "two  spaces\t", "word after word", "unseen zyxwvutsrq"]
+    alone = [(*r[:4], r[4].tolist()) for t in texts for r in aligner.align_many([t])]
+    for some in (list(range(6)), [0, 1, 4, 5]):
+        got = [(*r[:4], r[4].tolist()) for r in aligner.align_many([texts[i] for i in some])]
+        assert got == [alone[i] for i in some]
+        # Each id is written once, followed by its mark.
+        assert all(r[0] + r[1] == len(r[3].replace("|", ",").replace(";", ",").split(",")) for r in got if r[0])
+
+
 def test_alignment_of_no_rows(spark):
     nothing = alignment.align(
         spark.createDataFrame([], "doc_id long, text string"), queries.tokenizer_path(), queries.tokenizer_path("piece_bpe_32k.model"),
