@@ -23,121 +23,153 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridlens.llm.common import WHITE, clear_of, join_same, let, small_or_shuffled, text_of
+from gridlens.llm.common import clear_of, join_same, let, small_or_shuffled, text_of
 from gridlens.session import cut_lineage
 
 WORDS = 5
 OUTPUTS = ["n_lines", "removed"]
 PLACE = ["doc_id", "crc", "pos"]
-#: Hash classes in which words are counted.
-CLASSES = 1 << 16
-#: A token's upper bits hold its rarity, in half powers of two; the others its hash.
-LEVEL_BITS = 6
+#: Bits of a word's hash that name the class in which it is counted.
+CLASS_BITS = 14
+#: A token's upper bits hold the rarity of its first word, the next ones that word's hash, the lowest the whole run's.
+LEVEL_BITS, RUN_BITS = 6, 37
 #: Longs of 64 bits that mark the tokens of a line.
 MARKS = 4
 
 
-def _lower(line: Column) -> Column:
-    """A to Z as a to z, all other letters as they are."""
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    others = (F.length(line) != F.octet_length(line)) & line.rlike(r"[^\x00-\x7F](?<=[\p{IsUppercase}\p{Lt}])")
-    return F.when(others, F.translate(line, letters, letters.lower())).otherwise(F.lower(line))
+def _plain(text: Column) -> Column:
+    """A to Z as a to z, and spaces for other white space inside lines; other letters stay apart, though not as they are.
+
+    Text with other letters is read as one letter a byte. ``lower`` then changes first bytes of two-byte letters too,
+    to first bytes of longer ones; as the number of bytes that follow stays, no two texts become one.
+    """
+    bytewise = F.decode(text.cast("binary"), "ISO-8859-1")
+    plain = F.lower(F.when(F.length(text) == F.octet_length(text), text).otherwise(bytewise))
+    for white in "\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(white), F.lit(" "))
+    return plain
+
+
+def _all_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, crc, pos and comparable text of each line."""
+    texts = docs.select("doc_id", F.crc32(text_of().cast("binary")).alias("crc"), _plain(F.col("text")).alias("plain"))
+    return texts.select("doc_id", "crc", F.posexplode(F.split("plain", "\n", -1)).alias("pos", "line"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, crc, pos, key and lower-cased text of each line with words."""
-    lines = docs.select(
-        "doc_id", F.crc32(text_of().cast("binary")).alias("crc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")
-    ).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
-    lower = lines.select(*PLACE, _lower(F.col("raw")).alias("line"))
-    return lower.select(*PLACE, F.xxhash64("line").alias("key"), "line")
+    """doc_id, crc, pos, key and comparable text of each line with words."""
+    worded = _all_lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return worded.select(*PLACE, F.xxhash64("line").alias("key"), "line")
 
 
-def _words(line: Column) -> Column:
-    # Nearly all lines have single spaces alone, and are cut without a pattern.
-    odd = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
-    odd = odd | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
-    return F.when(odd, F.array_remove(F.split(line, WHITE), "")).otherwise(F.split(line, " "))
+def _hashes(line: Column) -> Column:
+    """The hashes of the words; two spaces, or one at an end, have an empty word between them."""
+    return F.array_remove(F.transform(F.split(line, " "), lambda word: F.xxhash64(word)), F.xxhash64(F.lit("")))
 
 
-def _class_of(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(CLASSES))
+def _class_of(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - CLASS_BITS)
 
 
 def rarity_levels(docs: DataFrame) -> list[int]:
-    """For each hash class how common its words are, over all texts."""
-    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("word"))
-    levels = [1] * CLASSES
-    for row in words.groupBy(_class_of(F.col("word")).alias("class")).count().collect():  # CLASSES rows at most
+    """For each hash class how common its words are, over all texts (as cut at spaces and line ends)."""
+    lines = docs.select(F.explode(F.split(_plain(F.col("text")), "\n", -1)).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("word"))
+    levels = [1] * 2**CLASS_BITS
+    counted = words.groupBy(_class_of(F.xxhash64("word")).alias("class")).count()
+    for row in counted.collect():  # 2**CLASS_BITS rows at most
         levels[row["class"]] = min(2**LEVEL_BITS - 1, 1 + int(2 * math.log2(row["count"])))
     return levels
 
 
-def _tokens(line: Column, levels: list[int] | None = None) -> Column:
-    """Distinct hashes of the runs of WORDS words, a shorter line being one run; with their rarity in front if
-    ``levels`` are given."""
+def _tokens(hashes: str) -> Column:
+    """Distinct hashes of the runs of WORDS words, a shorter line being one run."""
+    h, size = F.col(hashes), F.size(hashes)
+
+    def with_later(a: Column, b: Column, k: int) -> Column:
+        """Each hash of ``a`` with the one of ``b`` k places on, shifted so that the order of words counts."""
+        return F.zip_with(a, F.slice(b, F.lit(k + 1), size), lambda x, y: x.bitwiseXOR(F.shiftleft(y, k)))
+
+    fours = let(with_later(h, h, 1), lambda twos: with_later(twos, twos, 2))
+    fives = with_later(fours, h, 4)
+    return F.array_distinct(F.when(size >= WORDS, F.slice(fives, F.lit(1), size - (WORDS - 1))).otherwise(F.array(F.xxhash64(h))))
+
+
+def _prefixes(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
+    """key, place, n, least and prefix of lines.
+
+    A line has ``n`` runs of words, which are between ``least`` and ``n`` different tokens. The prefix holds its rarest tokens
+    in their order, as many as ``n`` different ones ask for. The first word decides which runs are in it, so
+    that the others need no hash.
+    """
     # One literal, made before the job starts.
-    table = F.split(F.lit(",".join(map(str, levels or []))), ",").cast("array<long>")
+    table = F.split(F.lit(",".join(str(level << 63 - LEVEL_BITS) for level in levels)), ",").cast("array<long>")
+    word_bits = (1 << 63 - LEVEL_BITS) - (1 << RUN_BITS)
+    held = [*PLACE, "key", "h", "n"]
 
-    def token(first: Column, others: list[Column]) -> Column:
-        hashed = F.xxhash64(first, *others)
-        if levels is None:
-            return hashed
-        level = F.shiftleft(F.get(table, _class_of(first)), 63 - LEVEL_BITS)
-        return level.bitwiseOR(F.shiftrightunsigned(hashed, LEVEL_BITS + 1))
+    def rank(x: Column) -> Column:
+        return F.get(table, _class_of(x)).bitwiseOR(x.bitwiseAND(F.lit(word_bits)))
 
-    def runs(words: Column) -> Column:
-        many = F.transform(words, lambda w, i: token(w, [F.get(words, i + k) for k in range(1, WORDS)]))
-        one = F.array(token(F.get(words, F.lit(0)), [F.slice(words, 2, WORDS), F.size(words)]))
-        return F.when(F.size(words) >= WORDS, F.slice(many, F.lit(1), F.size(words) - (WORDS - 1))).otherwise(one)
+    hashed = lines.select(*PLACE, "key", _hashes(F.col("line")).alias("h"))
+    runs = hashed.select(*held[:-1], F.greatest(F.size("h") - (WORDS - 1), F.lit(1)).alias("n"))
+    # Equal runs begin and end with equal words, so there are no fewer different runs than different pairs of such words.
+    ends = F.zip_with(F.slice("h", F.lit(1), F.col("n")), F.slice("h", F.lit(WORDS), F.col("n")), lambda a, b: a.bitwiseXOR(b))
+    ranked = runs.select(*held, F.transform(F.slice("h", F.lit(1), F.col("n")), rank).alias("ranks"), ends.alias("ends"))
+    sized = ranked.select(*held, "ranks", F.sort_array("ranks").alias("sorted"), F.size(F.array_distinct("ends")).alias("least"))
+    wanted = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    last = F.get("sorted", F.least(wanted + F.col("n") - F.col("least"), F.col("n")) - 1)
 
-    return F.array_distinct(let(_words(line), runs))
+    def run(x: Column, i: Column) -> Column:
+        hashed = F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WORDS)])
+        return x.bitwiseOR(hashed.bitwiseAND(F.lit((1 << RUN_BITS) - 1)))
+
+    chosen = let(last, lambda most: F.transform("ranks", lambda x, i: F.when(x <= most, run(x, i))))
+    prefix = F.slice(F.sort_array(F.array_except(chosen, F.array(F.lit(None).cast("long")))), F.lit(1), wanted)
+    return sized.select(*PLACE, "key", "n", "least", prefix.alias("prefix"))
 
 
 def _first_places(docs: DataFrame, percent: int) -> DataFrame:
-    """key, place of its earliest line, its number n of tokens, and its prefix, the rarest tokens first."""
-    lines = _lines(docs).select("key", *PLACE, _tokens(F.col("line"), rarity_levels(docs)).alias("tokens"))
-    n = F.size("tokens")
-    first = F.slice(F.sort_array("tokens"), F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    least = lines.select("key", F.struct(*PLACE, n.alias("n"), first.alias("prefix")).alias("at")).groupBy("key").agg(F.min("at").alias("at"))
-    return cut_lineage(least.select("key", F.struct(*[f"at.{c}" for c in PLACE]).alias("place"), "at.n", "at.prefix"))
+    """key, place of its earliest line, its numbers n and least of tokens, and its prefix, the rarest tokens first."""
+    lines = _prefixes(_lines(docs), rarity_levels(docs), percent)
+    least = lines.groupBy("key").agg(F.min(F.struct(*PLACE, "n", "least", "prefix")).alias("at"))
+    return cut_lineage(least.select("key", F.struct(*[f"at.{c}" for c in PLACE]).alias("place"), "at.n", "at.least", "at.prefix"))
 
 
 def _shared_tokens(firsts: DataFrame) -> DataFrame:
-    """(token, at) for each token in the prefixes of two lines or more; at: place, key, n, place i of the token, and
+    """(token, at) for each token in the prefixes of two lines or more; at: place, key, n, least, place i of the token, and
     the token before it in the prefix (null for the first)."""
-    sent = firsts.select(F.posexplode("prefix").alias("i", "token"), "place", "key", "n", "prefix")
-    sent = sent.select("i", "token", "place", "key", "n", F.get("prefix", F.col("i") - 1).alias("before"))
+    sent = firsts.select(F.posexplode("prefix").alias("i", "token"), "place", "key", "n", "least", "prefix")
+    sent = sent.select("i", "token", "place", "key", "n", "least", F.get("prefix", F.col("i") - 1).alias("before"))
     shared = sent.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token")
     some = sent.join(small_or_shuffled(cut_lineage(shared), 1_000_000), "token", "left_semi")
-    return cut_lineage(some.select("token", F.struct("place", "key", "n", "i", "before").alias("at")))
+    return cut_lineage(some.select("token", F.struct("place", "key", "n", "least", "i", "before").alias("at")))
 
 
 def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """key and all tokens of the lines with these keys and places."""
     places = small_or_shuffled(keys.select(*[F.col(f"place.{c}").alias(c) for c in PLACE]), 1_000_000)
-    found = join_same(_lines(docs), places, PLACE, "left_semi")
-    return cut_lineage(found.select("key", _tokens(F.col("line")).alias("tokens")).dropDuplicates(["key"]))
-
+    found = join_same(_all_lines(docs), places, PLACE, "left_semi").select(F.xxhash64("line").alias("key"), "line")
+    hashed = found.dropDuplicates(["key"]).select("key", _hashes(F.col("line")).alias("h"))
+    return cut_lineage(hashed.select("key", _tokens("h").alias("tokens")))
 
-def _marks(tokens: str) -> list[Column]:
-    def mark(m: int) -> Column:
-        none = F.lit(0).cast("long")
-        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 8).bitwiseAND(63).cast("int"))
-        return F.aggregate(tokens, none, lambda s, t: F.when(F.pmod(t, F.lit(MARKS)) == m, s.bitwiseOR(bit(t))).otherwise(s))
 
-    return [mark(m).alias(f"marks{m}") for m in range(MARKS)]
+def _marks(sets: DataFrame) -> DataFrame:
+    """key, number of tokens and marks of each set."""
+    each = sets.select("key", F.explode("tokens").alias("t"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("t", 8).bitwiseAND(63).cast("int"))
+    marks = [F.coalesce(F.bit_or(F.when(F.pmod("t", F.lit(MARKS)) == m, bit)), F.lit(0)).alias(f"marks{m}") for m in range(MARKS)]
+    return each.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size"), *marks)
 
 
 def _needed(x: str, y: str, percent: int) -> Column:
     """Common tokens of two lines that reach the threshold."""
-    return F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * percent / (100 + percent) - 1e-6)
+    return F.ceil((F.col(f"{x}.least") + F.col(f"{y}.least")) * percent / (100 + percent) - 1e-6)
 
 
 def _close(x: str, y: str, percent: int) -> Column:
     """Length and positional filters for lines that share the token at places ``i`` (from 0) of both."""
-    nx, ny, ix, iy = (F.col(f"{s}.{c}") for c in ("n", "i") for s in (x, y))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (
+    nx, ny, ix, iy, lx, ly = (F.col(f"{s}.{c}") for c in ("n", "i", "least") for s in (x, y))
+    return (100 * nx >= percent * ly) & (100 * ny >= percent * lx) & (
         F.least(nx - ix, ny - iy) + F.least(ix, iy) >= _needed(x, y, percent)
     )
 
@@ -179,8 +211,11 @@ def _near_copies(docs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     settled = cut_lineage(_matched(pairs, sets, percent))
 
     # A token of two lines has no further pair.
-    more = met.where("lines > 2").select("token", "at", F.col("at.key").alias("key")).join(sets.select("key", *_marks("tokens")), "key")
-    marked = cut_lineage(more.select("token", F.struct("at.*", *[f"marks{m}" for m in range(MARKS)]).alias("at")))
+    more = met.where("lines > 2").select("token", "at", F.col("at.key").alias("key")).join(_marks(sets), "key")
+    exact = [F.col("size").alias("n"), F.col("size").alias("least")]
+    marked = cut_lineage(more.select("token", F.struct(
+        "at.place", "at.key", *exact, "at.i", "at.before", *[f"marks{m}" for m in range(MARKS)]
+    ).alias("at")))
     open_ones = marked.join(settled, F.col("at.key") == settled["key"], "left_anti")
     others = marked.withColumnRenamed("at", "to")
     near = (F.col("to.place") < F.col("at.place")) & _close("at", "to", percent)

@@ -189,6 +189,25 @@ def test_variants_of_a_line_meet_at_their_first_shared_token(spark):
     assert 3 * sum(found.values()) < close.count()
 
 
+def test_prefixes_hold_what_the_runs_of_a_line_ask_for(spark):
+    chorus = " ".join(f"la{i % 3} der{i % 5}" for i in range(40))  # 15 of its runs come again and again
+    long = " ".join(f"wort{i}" for i in range(60))
+    odd = [" \u00c9t\u00e9 \u00e0  la\tplage \u01c4 \u0130s ", "\u00e9t\u00e9 \u00e0 la plage \u01c4 \u0130s", "\u00c9T\u00e9 \u00e0 LA plage \u01c4 \u0130S", "\u00c9t\u00e9 \u00e0 la plage \u01c6 \u0130s"]
+    lines = [chorus, chorus + " end", chorus + " other words that go on and on and on until it is no copy", long, long + " x y", "z " + long.upper(),
+             *odd, "the the the the the the", "the the the the the", "a b", "A\x0bb", "b a"]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    sets = [shingles(line) for line in lines]
+    wanted = {j: [0] if any(linked(sets[j], s) for s in sets[:j]) else [] for j in range(len(sets))}
+    assert {r.doc_id: r.removed for r in line_dedup.drop_repeated_lines(docs).collect()} == wanted
+    assert wanted[2] == wanted[7] == wanted[9] == [] and wanted[1] == wanted[5] == wanted[8] == wanted[13] == [0]
+    firsts = line_dedup._first_places(docs, 80)
+    for r in firsts.collect():
+        s = sets[r.place.doc_id]
+        assert r.least <= len(s) <= r.n and len(s) - -(-80 * len(s) // 100) + 1 <= len(r.prefix) <= len(s)
+    plan = line_dedup._lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Generate") < plan.index("crc32")  # below it: once a text, not once a line
+
+
 def test_secrets_keep_fixed_spans(documents, odd_documents):
     assign = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     for docs in (documents, odd_documents):
