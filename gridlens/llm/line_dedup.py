@@ -11,8 +11,8 @@ Pairs are first formed with the earliest line of each shared token only. That se
 a large group; only those it does not settle are paired with the others of their tokens that the filters allow.
 There a pair is formed at its first shared token only, or nearly so: no more tokens than follow can be common, and
 tokens with the same one before them on both sides are left to that one. So lines that share a whole run of rare tokens
-meet once and not at each. Marks help too, one bit for the hash class of each token, of which too many differ between
-lines that cannot match. So variants of one line that share much, but not enough, are not compared set by set.
+meet once and not at each. Both kinds of pairs know how many tokens a line has, and its marks, one bit for the hash class
+of each token, of which too many differ between lines that cannot match. So variants of one line that share much, but not enough, are not compared set by set.
 
 All steps are DataFrame functions.
 """
@@ -33,6 +33,8 @@ PLACE = ["doc_id", "crc", "pos"]
 CLASS_BITS = 14
 #: A token's upper bits hold the rarity of its first word, the next ones that word's hash, the lowest the whole run's.
 LEVEL_BITS, RUN_BITS = 6, 37
+#: Bits for a word's place in its line; below RUN_BITS.
+PLACE_BITS = 31
 #: Longs of 64 bits that mark the tokens of a line.
 MARKS = 4
 
@@ -104,28 +106,38 @@ def _prefixes(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
     """
     # One literal, made before the job starts.
     table = F.split(F.lit(",".join(str(level << 63 - LEVEL_BITS) for level in levels)), ",").cast("array<long>")
-    word_bits = (1 << 63 - LEVEL_BITS) - (1 << RUN_BITS)
-    held = [*PLACE, "key", "h", "n"]
+    run_mask, place_mask = (1 << RUN_BITS) - 1, (1 << PLACE_BITS) - 1
+    word_bits = (1 << 63 - LEVEL_BITS) - 1 - place_mask
+
+    def rank(x: Column, i: Column) -> Column:
+        """Rarity and hash of a run's first word, and below them the run's place."""
+        level = F.coalesce(F.get(table, _class_of(x)), F.lit(0))  # never null, so that plain numbers are sorted
+        return level.bitwiseOR(x.bitwiseAND(F.lit(word_bits))).bitwiseOR(i.cast("long"))
 
-    def rank(x: Column) -> Column:
-        return F.get(table, _class_of(x)).bitwiseOR(x.bitwiseAND(F.lit(word_bits)))
+    def run(x: Column) -> Column:
+        hashed = F.xxhash64(F.slice("h", x.bitwiseAND(F.lit(place_mask)).cast("int") + 1, F.lit(WORDS)))
+        return x.bitwiseAND(F.lit(~run_mask)).bitwiseOR(hashed.bitwiseAND(F.lit(run_mask)))
 
+    held = [*PLACE, "key", "h", "n"]
     hashed = lines.select(*PLACE, "key", _hashes(F.col("line")).alias("h"))
     runs = hashed.select(*held[:-1], F.greatest(F.size("h") - (WORDS - 1), F.lit(1)).alias("n"))
-    # Equal runs begin and end with equal words, so there are no fewer different runs than different pairs of such words.
-    ends = F.zip_with(F.slice("h", F.lit(1), F.col("n")), F.slice("h", F.lit(WORDS), F.col("n")), lambda a, b: a.bitwiseXOR(b))
-    ranked = runs.select(*held, F.transform(F.slice("h", F.lit(1), F.col("n")), rank).alias("ranks"), ends.alias("ends"))
-    sized = ranked.select(*held, "ranks", F.sort_array("ranks").alias("sorted"), F.size(F.array_distinct("ends")).alias("least"))
+    # Equal runs begin with equal words, so there are no fewer different runs than first words.
+    ranked = runs.select(
+        *held, F.size(F.array_distinct(F.slice("h", F.lit(1), F.col("n")))).alias("least"),
+        F.sort_array(F.slice(F.transform("h", rank), F.lit(1), F.col("n"))).alias("ranks"),
+    )
+    held.append("least")
     wanted = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    last = F.get("sorted", F.least(wanted + F.col("n") - F.col("least"), F.col("n")) - 1)
-
-    def run(x: Column, i: Column) -> Column:
-        hashed = F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WORDS)])
-        return x.bitwiseOR(hashed.bitwiseAND(F.lit((1 << RUN_BITS) - 1)))
-
-    chosen = let(last, lambda most: F.transform("ranks", lambda x, i: F.when(x <= most, run(x, i))))
-    prefix = F.slice(F.sort_array(F.array_except(chosen, F.array(F.lit(None).cast("long")))), F.lit(1), wanted)
-    return sized.select(*PLACE, "key", "n", "least", prefix.alias("prefix"))
+    last = F.get("ranks", wanted - 1)
+    # A word as rare as the last one wanted may follow; its runs count too, wherever they stand.
+    tied = F.shiftright(last, RUN_BITS) == F.shiftright(F.get("ranks", wanted), RUN_BITS)
+    with_ties = let(last.bitwiseOR(F.lit(run_mask)), lambda most: F.filter("ranks", lambda x: x <= most))
+    chosen = ranked.select(*held, "ranks", F.when(tied, with_ties).otherwise(F.slice("ranks", F.lit(1), wanted)).alias("chosen"))
+    tokens = chosen.select(*held, "ranks", F.size("chosen").alias("taken"), F.array_distinct(F.transform("chosen", run)).alias("tokens"))
+    # Where runs come again, the chosen ones may be too few tokens: then all are looked at.
+    enough = (F.size("tokens") >= wanted) | (F.col("taken") == F.col("n"))
+    prefix = F.when(enough, F.col("tokens")).otherwise(F.array_distinct(F.transform("ranks", run)))
+    return tokens.select(*PLACE, "key", "n", "least", F.slice(F.sort_array(prefix), F.lit(1), wanted).alias("prefix"))
 
 
 def _first_places(docs: DataFrame, percent: int) -> DataFrame:
@@ -148,7 +160,11 @@ def _shared_tokens(firsts: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """key and all tokens of the lines with these keys and places."""
     places = small_or_shuffled(keys.select(*[F.col(f"place.{c}").alias(c) for c in PLACE]), 1_000_000)
-    found = join_same(_all_lines(docs), places, PLACE, "left_semi").select(F.xxhash64("line").alias("key"), "line")
+    texts = docs.select("doc_id", F.crc32(text_of().cast("binary")).alias("crc"), F.split("text", "\n", -1).alias("cut"))
+    raw = texts.select("doc_id", "crc", F.posexplode("cut").alias("pos", "line"))
+    # Only lines that are asked for are made comparable.
+    found = join_same(raw, places, PLACE, "left_semi").select(_plain(F.col("line")).alias("line"))
+    found = found.select(F.xxhash64("line").alias("key"), "line")
     hashed = found.dropDuplicates(["key"]).select("key", _hashes(F.col("line")).alias("h"))
     return cut_lineage(hashed.select("key", _tokens("h").alias("tokens")))
 
@@ -192,34 +208,34 @@ def _alike(x: str, y: str, percent: int) -> Column:
 
 def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later lines (x) of pairs whose sets reach the threshold."""
-    both = (
-        pairs.join(sets.withColumnsRenamed({"key": "x", "tokens": "tx"}), "x")
-        .join(sets.withColumnsRenamed({"key": "y", "tokens": "ty"}), "y")
-    )
+    later = small_or_shuffled(pairs, 1_000_000).join(sets.withColumnsRenamed({"key": "x", "tokens": "tx"}), "x")
+    # Only sets that are asked for are sent.
+    asked = small_or_shuffled(pairs.select("y").distinct(), 1_000_000)
+    both = later.join(sets.withColumnsRenamed({"key": "y", "tokens": "ty"}).join(asked, "y", "left_semi"), "y")
     common = F.size(F.array_intersect("tx", "ty"))
     return both.where(100 * common >= percent * (F.size("tx") + F.size("ty") - common)).select(F.col("x").alias("key")).distinct()
 
 
 def _near_copies(docs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Keys of lines that an earlier, different line matches."""
-    ends = shared.groupBy("token").agg(F.min("at").alias("to"), F.count(F.lit(1)).alias("lines"))
-    met = shared.join(ends, "token")
-    close = (F.col("at.key") != F.col("to.key")) & _close("at", "to", percent)
     keys = cut_lineage(shared.select("at.key", "at.place").distinct())
     sets = _sets(docs, keys)
-    pairs = cut_lineage(met.where(close).select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct())
-    settled = cut_lineage(_matched(pairs, sets, percent))
-
-    # A token of two lines has no further pair.
-    more = met.where("lines > 2").select("token", "at", F.col("at.key").alias("key")).join(_marks(sets), "key")
     exact = [F.col("size").alias("n"), F.col("size").alias("least")]
-    marked = cut_lineage(more.select("token", F.struct(
+    marked = shared.withColumn("key", F.col("at.key")).join(_marks(sets), "key")
+    marked = cut_lineage(marked.select("token", F.struct(
         "at.place", "at.key", *exact, "at.i", "at.before", *[f"marks{m}" for m in range(MARKS)]
     ).alias("at")))
-    open_ones = marked.join(settled, F.col("at.key") == settled["key"], "left_anti")
+    ends = cut_lineage(marked.groupBy("token").agg(F.min("at").alias("to"), F.count(F.lit(1)).alias("lines")))
+    near = _close("at", "to", percent) & _alike("at", "to", percent)
+    met = marked.join(ends, "token").where(F.col("at.key") != F.col("to.key"))
+    pairs = cut_lineage(met.where(near).select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct())
+    settled = cut_lineage(_matched(pairs, sets, percent))
+
+    # A token of two lines has no further pair.
+    more = marked.join(ends.where("lines > 2").select("token"), "token", "left_semi")
+    open_ones = more.join(settled, F.col("at.key") == settled["key"], "left_anti")
     others = marked.withColumnRenamed("at", "to")
-    near = (F.col("to.place") < F.col("at.place")) & _close("at", "to", percent)
-    near = near & _first_shared("at", "to", percent) & _alike("at", "to", percent)
+    near = (F.col("to.place") < F.col("at.place")) & near & _first_shared("at", "to", percent)
     rest = cut_lineage(
         open_ones.join(others, "token").where(near)
         .select(F.col("at.key").alias("x"), F.col("to.key").alias("y")).distinct()
