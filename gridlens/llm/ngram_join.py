@@ -7,6 +7,10 @@ Rare tokens come first, so passages that many documents share fall outside the p
 
 Rarity is counted for the tokens in a fixed part of the hash range, and those come before all
 others in every order. Only they, and what is missing to a full prefix, are ever shuffled.
+
+The more documents there are, the more of them share some prefix token by chance, until chains of
+such tokens hold most of them together. So the sets that share a token are linked only where sizes
+and sketches leave the threshold open, and whole sets meet only inside the groups left then.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridlens.llm.arrow import list_array, lists, sorted_groups
 from gridlens.llm.common import clear_of, join_same, small_or_shuffled
@@ -27,6 +31,11 @@ from gridlens.session import cut_lineage
 COUNTED = 0.3
 #: Counts are told apart up to this; commoner tokens rank equal.
 COMMON = 64
+#: Sketches that meet at once are two blocks of about so many, made of so many tokens, at most.
+SKETCHES = 4_096
+SKETCH_TOKENS = 32_000_000
+#: Rows of a result that are sent together.
+ROWS = 10_000
 #: Documents that meet at once are two blocks of about so many documents and tokens at most.
 BLOCK = 1_024
 BLOCK_TOKENS = 1_000_000
@@ -39,24 +48,33 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """One bit a place, of a power of two of places: whether an odd number of tokens falls there."""
+    places = max(64, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount(tokens & (places - 1), minlength=places) & 1, bitorder="little").tobytes()
+
+
 def _digest(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, fp and how many tokens the document sends: low ones, and in all."""
+    """doc_id, n, fp, how many tokens the document sends (low ones, and in all) and the set's sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, low, sent = [], [], [], []
+            n, fp, low, sent, sketches = [], [], [], [], []
             for tokens in shingle_sets(batch.column("text")):
                 n.append(len(tokens))
                 fp.append(fingerprint(tokens) if len(tokens) else None)
                 low.append(int(np.searchsorted(tokens, _EDGE)))
                 sent.append(max(low[-1], prefix_length(len(tokens), percent)) if len(tokens) else 0)
+                sketches.append(sketch(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(low, pa.int32()),
-                 pa.array(sent, pa.int32())],
-                names=["doc_id", "n", "fp", "low", "sent"],
+                 pa.array(sent, pa.int32()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "n", "fp", "low", "sent", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp long, low int, sent int")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n long, fp long, low int, sent int, sketch binary"
+    )
 
 
 def _tokens(docs: DataFrame, percent: int) -> DataFrame:
@@ -175,6 +193,110 @@ def _prefixes(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+class Sketches:
+    """Sketches of sets that come by size, held against each other at the smaller one's width."""
+
+    def __init__(self, sketches: list[bytes]) -> None:
+        self.width = np.array([len(s) // 8 for s in sketches])
+        self.level: dict[int, tuple[int, np.ndarray]] = {}  # of a width, and of twice that folded to it
+        for w in np.unique(self.width).tolist():
+            a, b, c = np.searchsorted(self.width, [w, w + 1, 2 * w + 1])
+            own, double = (np.frombuffer(b"".join(sketches[x:y]), np.uint64) for x, y in ((a, b), (b, c)))
+            double = double.reshape(-1, 2 * w)
+            self.level[w] = int(a), np.concatenate([own.reshape(-1, w), double[:, :w] ^ double[:, w:]])
+
+    def apart(self, one: int, others: np.ndarray) -> np.ndarray:
+        """In how many places ``others`` (rising) differ from ``one``, which is never more than in tokens.
+
+        Zero for those more than twice as wide, or less than half.
+        """
+        w = int(self.width[one])
+        out = np.zeros(len(others), np.int64)
+        start, words = self.level[w]
+        for wide, end in ((w // 2, start), (w, start + len(words))):
+            if wide in self.level:
+                first, words = self.level[wide]
+                a, b = np.searchsorted(others, [first, end])
+                if a < b:
+                    out[a:b] = np.bitwise_count(words[others[a:b] - first] ^ words[one - first]).sum(axis=1)
+        return out
+
+
+def open_groups(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """For each of the sets, which come by size, the first of its group.
+
+    Groups hold together by pairs of sets of which sizes and sketches do not rule out ``percent``.
+    Sets with so much in common differ in (100 - percent) / (100 + percent) of their tokens at most.
+    """
+    held = Sketches(sketches)
+    first = np.arange(len(n))
+    left = np.arange(len(n))
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        top = reached[0]
+        while reached and len(left):
+            one = reached.pop()
+            size = n[left]
+            fits = np.flatnonzero((100 * size >= percent * n[one]) & (percent * size <= 100 * n[one]))
+            if not len(fits):
+                continue
+            near = (100 + percent) * held.apart(one, left[fits]) <= (100 - percent) * (n[one] + size[fits])
+            found = left[fits[near]]
+            first[found] = top
+            reached.extend(found.tolist())
+            left = np.delete(left, fits[near])
+    return first
+
+
+def _open_links(prefixes: DataFrame, digests: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of sets that may reach ``percent``, so that all such pairs are connected.
+
+    Sets that share a token meet with their sketches, where several tokens have the same sets only
+    once. Many sets meet two blocks at a time.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, rows = [], [], 0
+        for group in sorted_groups(batches, ["hub", "mark", "i", "j"]):
+            if group.num_rows < 2:
+                continue
+            n = group.column("n").to_numpy()
+            order = np.argsort(n, kind="stable")
+            sketches = group.column("sketch").to_pylist()
+            first = open_groups(n[order], [sketches[k] for k in order], percent)
+            fp = group.column("fp").to_numpy()[order]
+            linked = np.flatnonzero(first != np.arange(len(first)))
+            a.append(fp[linked])
+            b.append(fp[first[linked]])
+            rows += len(linked)
+            if rows >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+                a, b, rows = [], [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    on = prefixes.select("fp", "n", F.explode("first").alias("token"))
+    holders = Window.partitionBy("token")
+    groups = cut_lineage(
+        on.select(
+            F.min("fp").over(holders).alias("hub"), F.bit_xor(F.xxhash64("fp")).over(holders).alias("mark"),
+            F.count("*").over(holders).alias("size"), F.sum("n").over(holders).alias("all_n"), "fp",
+        ).where("size > 1")
+        .withColumn("n_blocks", F.ceil(F.greatest(F.col("size") / SKETCHES, F.col("all_n") / SKETCH_TOKENS)).cast("int"))
+        .select("hub", "mark", "n_blocks", "fp").distinct()
+    )
+    sketches = digests.join(groups.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch")
+    )
+    block = F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int").alias("block")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    return (
+        groups.join(sketches, "fp").select("*", block, other)
+        .select("hub", "mark", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "n", "sketch")
+        .repartition("hub", "mark", "i", "j").sortWithinPartitions("hub", "mark", "i", "j")
+        .mapInArrow(run, "a long, b long")
+    )
+
+
 def common_counts(sets: list[np.ndarray], at_once: int = 8_192) -> np.ndarray:
     """Sizes of the intersections of all pairs."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -267,7 +389,8 @@ def join_by_ngrams(docs: DataFrame, percent: int = 80) -> DataFrame:
       component's. A null doc_id takes part, with null as the component of a document alone.
     * Extra columns are not looked at; no rows give no rows.
 
-    Sets are compared by 64-bit hashes of their shingles and classes by 64-bit digests.
+    Sets are compared by 64-bit hashes of their shingles, classes and the sets that share a token
+    by 64-bit digests.
     """
     digests = cut_lineage(_digest(docs, percent))
     classes = digests.where("fp is not null").groupBy("fp").agg(
@@ -276,9 +399,7 @@ def join_by_ngrams(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     prefixes = cut_lineage(_prefixes(_shared(_tokens(docs, percent)), classes, percent))
 
-    on = prefixes.select("fp", F.explode("first").alias("token"))
-    hubs = on.groupBy("token").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    clusters = components(on.join(hubs, "token").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+    clusters = components(_open_links(prefixes, digests, percent))
     clusters = clusters.withColumnsRenamed({"node": "fp", "component": "cluster"})
 
     sizes = clusters.join(prefixes.select("fp", "n"), "fp").groupBy("cluster").agg(

@@ -1,10 +1,12 @@
 """Operators on documents against plain Python, on the smallest tables and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,48 @@ def test_ngram_join_links_documents_without_id(spark):
         assert {(r.n_links, r.component_id) for r in ngram_join.join_by_ngrams(some).collect()} == {(links, smallest)}
 
 
+def test_sketches_rule_out_no_pair_that_links():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 2, 9, 60, 64, 65, 130, 500):
+        base = rng.integers(-2**63, 2**63 - 1, n)
+        for gone in (0, 0.04, 0.1, 0.3):
+            own = base[rng.random(n) >= gone]
+            sets.append(np.unique(np.append(own, rng.integers(-2**63, 2**63 - 1, max(1, int(gone * n))))))
+    sets.sort(key=len)
+    held = ngram_join.Sketches([ngram_join.sketch(s) for s in sets])
+    n = np.array([len(s) for s in sets])
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    union = n[:, None] + n - common
+    every = np.arange(len(sets))
+    for i in every:
+        assert (held.apart(i, every) <= (union - common)[i]).all()
+    for percent in (20, 50, 80, 95, 100):
+        first = ngram_join.open_groups(n, [ngram_join.sketch(s) for s in sets], percent)
+        linked = 100 * common >= percent * union
+        assert (first[:, None] == first)[linked].all()
+    assert len(set(ngram_join.open_groups(n, [ngram_join.sketch(s) for s in sets], 80).tolist())) > 8
+
+
+def test_chains_of_shared_passages_do_not_meet(spark, monkeypatch):
+    """Each document shares half of its words with the next one; without sketches all were one cluster."""
+    rng = random.Random(3)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(25)) for _ in range(121)]
+    rows = [(i, f"{a} {b}") for i, (a, b) in enumerate(zip(passages, passages[1:]))]
+    rows += [(1_000 + i, f"{rows[i][1]} x{i}") for i in range(0, 120, 10)]
+    rows += [(2_000 + i, " ".join([*passages[50].split(), "y", passages[60], f"z{i}"])) for i in range(40)]
+    met, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "SKETCHES", 16)
+    monkeypatch.setattr(ngram_join, "_verified", lambda rows, percent: met.append(rows.count()) or verified(rows, percent))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, root, links = classes(docs.collect())
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.join_by_ngrams(docs).collect()}
+    assert got == {i: (len(s), root[i], links[i]) for i, s in sets.items()}
+    assert links[2_000] == 39 and links[1_000] == 1
+    assert met[0] <= 40 * 10 + 2 * 12
+
+
 def test_line_dedup_is_exact(documents, odd_documents):
     for docs in (documents, odd_documents.where("doc_id is not null and doc_id <> 6")):
         seen, gone = [], defaultdict(list)
